@@ -3,19 +3,20 @@
 Every lookup is reduced to one row per customer before it meets the base, so a
 join never adds rows. `with_lookups` combines the lookups with each other first,
 at customer grain, and joins the base once: the large side is shuffled once, and
-a customer with a large share of its rows is split by Spark's skew-join handling,
-which looks at a stage with a single join.
+a customer with a large share of its rows can be split over many tasks. Whether a
+lookup is broadcast is left to Spark, which goes by its measured size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import zero_if_null
 from ..functions.vocabulary import CUSTOMER, DATE, INCOME, INCOME_MONTH, INCOME_SEGMENTS
+from .skew import joinable, with_own_shuffle
 from .tags import without_forbidden
 
 
@@ -31,24 +32,34 @@ def attributes_by_customer(
 
 
 def with_attributes(
-    df: DataFrame, customers: DataFrame, columns: Sequence[str], key: str = CUSTOMER
+    df: DataFrame,
+    customers: DataFrame,
+    columns: Sequence[str],
+    key: str = CUSTOMER,
+    one_per_key: bool = False,
 ) -> DataFrame:
     """Attach attributes; rows of customers the lookup lacks are dropped."""
-    return df.join(attributes_by_customer(customers, columns, key), key, "inner")
+    attributes = attributes_by_customer(customers, columns, key)
+    return df.join(joinable(attributes, one_per_key), key, "inner")
 
 
 def members(tier: DataFrame, key: str = CUSTOMER) -> DataFrame:
     return tier.select(key).distinct()
 
 
-def in_tier(df: DataFrame, tier: DataFrame, name: str, key: str = CUSTOMER) -> DataFrame:
+def in_tier(
+    df: DataFrame, tier: DataFrame, name: str, key: str = CUSTOMER, one_per_key: bool = False
+) -> DataFrame:
     """Keep the members of a tier and mark them with a column of ones."""
-    return df.join(members(tier, key), key, "leftsemi").withColumn(name, F.lit(1))
+    kept = df.join(joinable(members(tier, key), one_per_key), key, "leftsemi")
+    return kept.withColumn(name, F.lit(1))
 
 
-def flag_tier(df: DataFrame, tier: DataFrame, name: str, key: str = CUSTOMER) -> DataFrame:
+def flag_tier(
+    df: DataFrame, tier: DataFrame, name: str, key: str = CUSTOMER, one_per_key: bool = False
+) -> DataFrame:
     """Mark members 1 and everybody else 0, keeping all rows."""
-    flagged = members(tier, key).withColumn(name, F.lit(1))
+    flagged = joinable(members(tier, key).withColumn(name, F.lit(1)), one_per_key)
     return df.join(flagged, key, "left").withColumn(name, zero_if_null(name))
 
 
@@ -81,7 +92,11 @@ def income_choice(values: Sequence[str]) -> tuple[str, ...]:
 
 
 def with_income(
-    df: DataFrame, income: DataFrame, values: Sequence[str] = INCOME_SEGMENTS, key: str = CUSTOMER
+    df: DataFrame,
+    income: DataFrame,
+    values: Sequence[str] = INCOME_SEGMENTS,
+    key: str = CUSTOMER,
+    one_per_key: bool = False,
 ) -> DataFrame:
     """Attach the income segment (null where unknown), or keep a strict subset of them.
 
@@ -89,8 +104,8 @@ def with_income(
     """
     wanted = income_choice(values)
     if wanted:
-        return df.join(income.where(F.col(INCOME).isin(*wanted)), key, "inner")
-    return df.join(income, key, "left")
+        income = income.where(F.col(INCOME).isin(*wanted))
+    return df.join(joinable(income, one_per_key), key, "inner" if wanted else "left")
 
 
 def audience(
@@ -106,24 +121,23 @@ def audience(
 
     None when no lookup restricts the base to known customers.
     """
-    rest = {name: members(tier, key) for name, tier in (tiers or {}).items()}
-    strict = income is not None and bool(income_choice(income_values))
+    rest = dict(tiers or {})
     if attributes is not None:
         chosen = attributes
     elif rest:
         first = next(iter(rest))
-        chosen = rest.pop(first).withColumn(first, F.lit(1))
-    elif strict:
+        chosen = members(rest.pop(first), key).withColumn(first, F.lit(1))
+    elif income is not None and income_choice(income_values):
         chosen = income.where(F.col(INCOME).isin(*income_choice(income_values)))
         income = None
     else:
         return None
     for name, tier in rest.items():
-        chosen = chosen.join(tier, key, "leftsemi").withColumn(name, F.lit(1))
+        chosen = in_tier(chosen, tier, name, key, one_per_key=True)
     if forbidden is not None:
-        chosen = without_forbidden(chosen, forbidden, key)
+        chosen = without_forbidden(chosen, forbidden, key, one_per_key=True)
     if income is not None:
-        chosen = with_income(chosen, income, income_values, key)
+        chosen = with_income(chosen, income, income_values, key, one_per_key=True)
     return chosen
 
 
@@ -136,11 +150,12 @@ def with_lookups(
     income: DataFrame | None = None,
     income_values: Sequence[str] = INCOME_SEGMENTS,
     key: str = CUSTOMER,
+    prepare: Callable[[DataFrame], DataFrame] = with_own_shuffle,
 ) -> DataFrame:
     """Remove forbidden customers and apply all other lookups, with one join of the base.
 
     Same rows as chaining `without_forbidden`, `with_attributes`, `in_tier` and
-    `with_income`.
+    `with_income`. `prepare` is applied to the combined lookup before that join.
     """
     chosen = audience(
         forbidden=forbidden,
@@ -151,10 +166,11 @@ def with_lookups(
         key=key,
     )
     if chosen is not None:
-        return base.join(chosen, key, "inner")
+        return base.join(prepare(chosen), key, "inner")
     if forbidden is None:
-        return base if income is None else base.join(income, key, "left")
+        return base if income is None else base.join(prepare(income), key, "left")
     if income is None:
-        return without_forbidden(base, forbidden, key)
-    marks = income.join(forbidden.withColumn("_forbidden", F.lit(True)), key, "full")
-    return base.join(marks, key, "left").where(F.col("_forbidden").isNull()).drop("_forbidden")
+        return base.join(prepare(forbidden), key, "leftanti")
+    marked = income.join(forbidden.withColumn("_forbidden", F.lit(True)), key, "full")
+    joined = base.join(prepare(marked), key, "left")
+    return joined.where(F.col("_forbidden").isNull()).drop("_forbidden")

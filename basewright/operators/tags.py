@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import any_tag_contains
 from ..functions.vocabulary import CUSTOMER, EXACT_TAGS, TAG_NEEDLES, TAGS
+from .skew import joinable
 
 
 def exploded_tags(customers: DataFrame, key: str = CUSTOMER) -> DataFrame:
@@ -42,6 +43,11 @@ def forbidden_by_substring(
     return tagged.where(any_tag_contains(TAGS, needles, fold_needles)).select(key).distinct()
 
 
-def without_forbidden(df: DataFrame, forbidden: DataFrame, key: str = CUSTOMER) -> DataFrame:
-    """Drop flagged keys; rows without a key stay."""
-    return df.join(forbidden, key, "leftanti")
+def without_forbidden(
+    df: DataFrame, forbidden: DataFrame, key: str = CUSTOMER, one_per_key: bool = False
+) -> DataFrame:
+    """Drop flagged keys; rows without a key stay.
+
+    `one_per_key` says that `df` has at most one row per key, so that no key is hot.
+    """
+    return df.join(joinable(forbidden, one_per_key), key, "leftanti")

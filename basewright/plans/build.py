@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import lateness, product_segment
 from ..functions.vocabulary import (
+    CUSTOMER,
     DAYS_LATE,
     IS_CC,
     IS_LL,
@@ -24,7 +26,9 @@ from ..operators.lookups import (
     recent_income,
     with_lookups,
 )
+from ..operators.skew import as_it_is, with_own_shuffle
 from ..operators.tags import forbidden_by_exact_tag, forbidden_by_substring
+from ..sinks.shared import written
 from ..sources.collections import collections_source, product_tables
 from .spec import EXACT, BaseSpec
 
@@ -104,9 +108,22 @@ def project(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*columns)
 
 
-def enriched_base(tables: Mapping[str, DataFrame], spec: BaseSpec) -> DataFrame:
-    """The base after all lookups, with every column and without a cap."""
-    rows = with_lookups(build_base(tables, spec), **lookups(tables, spec))
+def enriched_base(
+    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool = False
+) -> DataFrame:
+    """The base after all lookups, with every column and without a cap.
+
+    `staged` writes the combined lookup to the shared folder first. Its size is then
+    known before the base is touched, so a small one is broadcast and a base without
+    grouping, the largest input there is, need not be shuffled at all.
+    """
+    if staged:
+        prepare = partial(written, purpose="lookup")
+    elif spec.group_by == (CUSTOMER,):
+        prepare = as_it_is
+    else:
+        prepare = with_own_shuffle
+    rows = with_lookups(build_base(tables, spec), prepare=prepare, **lookups(tables, spec))
     return rows if spec.segment is None else rows.where(F.col(SEGMENT) == spec.segment)
 
 
@@ -115,6 +132,6 @@ def finish_base(rows: DataFrame, spec: BaseSpec) -> DataFrame:
     return rows if spec.row_cap is None else any_rows(rows, spec.row_cap)
 
 
-def base_for(tables: Mapping[str, DataFrame], spec: BaseSpec) -> DataFrame:
+def base_for(tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool = False) -> DataFrame:
     """The whole base a spec describes."""
-    return finish_base(enriched_base(tables, spec), spec)
+    return finish_base(enriched_base(tables, spec, staged), spec)

@@ -59,6 +59,8 @@ class BaseSpec:
             raise ValueError("the current state has no snapshot date to filter by")
         if self.days_late is not None:
             checked_range(*self.days_late)
+        if self.group_by and CUSTOMER not in self.group_by:
+            raise ValueError(f"grouping keys {self.group_by} must contain {CUSTOMER!r}")
         if self.product_segment and not (self.credit_card and self.lending):
             raise ValueError("the product segment needs both product flags")
         if self.segment is not None:

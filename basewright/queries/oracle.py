@@ -250,7 +250,8 @@ SELECTS = {
     "base_pdp": """SELECT customer__id, prototype FROM collections
       WHERE collection__end IS NULL
         AND customer__id NOT IN (SELECT customer__id FROM forbidden_parts)""",
-    "base_open_only": "SELECT customer__id, prototype FROM collections WHERE collection__end IS NULL",
+    "base_open_only": """SELECT customer__id, prototype FROM collections
+      WHERE collection__end IS NULL""",
     "limit_stable": "SELECT * FROM base ORDER BY customer__id LIMIT 100",
     "limit_per_combo": _capped("base", "customer__id, lateness, segment"),
     "save_roundtrip": "SELECT * FROM eligible",
@@ -315,4 +316,5 @@ def oracle_queries() -> dict[str, str]:
             return f"WITH {VIEWS.strip()},\n{select[len('WITH '):].strip()}"
         return f"WITH {VIEWS.strip()}\n{select}"
 
-    return {name: with_views(select) for name, select in SELECTS.items()}
+    selects = {**SELECTS, "base_pdp_staged": SELECTS["base_pdp"]}
+    return {name: with_views(select) for name, select in selects.items()}

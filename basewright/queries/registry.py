@@ -15,7 +15,7 @@ from ..operators import caps, checks, filters, grouping, lookups, tags
 from ..plans import build
 from ..plans.spec import BaseSpec
 from ..plans.stages import stage_counts as count_stages
-from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, TEMPLATES
+from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP, TEMPLATES
 from ..sinks import tables as sinks
 from ..sinks.shared import new_path
 from ..sources.collections import collections_source, latest_state, renamed
@@ -248,7 +248,7 @@ def forbidden_substring_folded(t: Tables) -> DataFrame:
 @query
 def anti_forbidden(t: Tables) -> DataFrame:
     forbidden = tags.forbidden_by_exact_tag(t["customers"])
-    return tags.without_forbidden(_grouped(t), forbidden).select(*SEGMENT_COLUMNS)
+    return tags.without_forbidden(_grouped(t), forbidden, one_per_key=True).select(*SEGMENT_COLUMNS)
 
 
 # --- lookups ------------------------------------------------------------------------
@@ -262,7 +262,7 @@ def dedup_customers(t: Tables) -> DataFrame:
 @query
 def enrich_inner(t: Tables) -> DataFrame:
     base = _grouped(t).select(*SEGMENT_COLUMNS)
-    return lookups.with_attributes(base, t["customers"], [PROTOTYPE])
+    return lookups.with_attributes(base, t["customers"], [PROTOTYPE], one_per_key=True)
 
 
 @query
@@ -272,7 +272,9 @@ def distinct_tier(t: Tables) -> DataFrame:
 
 def _tiers(t: Tables, *names: str) -> DataFrame:
     base = _grouped(t).select(*SEGMENT_COLUMNS)
-    return reduce(lambda df, name: lookups.in_tier(df, t[f"tier_{name}"], name), names, base)
+    return reduce(
+        lambda df, name: lookups.in_tier(df, t[f"tier_{name}"], name, one_per_key=True), names, base
+    )
 
 
 query(lambda t: _tiers(t, "roxinho"), "tier_roxinho")
@@ -284,7 +286,8 @@ query(lambda t: _tiers(t, "roxinho", "uv"), "tier_multi_and")
 
 @query
 def tier_flag(t: Tables) -> DataFrame:
-    return lookups.flag_tier(_grouped(t).select(*SEGMENT_COLUMNS), t["tier_uv"], "uv")
+    base = _grouped(t).select(*SEGMENT_COLUMNS)
+    return lookups.flag_tier(base, t["tier_uv"], "uv", one_per_key=True)
 
 
 @query
@@ -296,7 +299,8 @@ def dedup_income(t: Tables) -> DataFrame:
 def _income(t: Tables, *values: str) -> DataFrame:
     recent = lookups.recent_income(t["income_segments"], t["collections_cc"])
     income = lookups.income_by_customer(recent)
-    return lookups.with_income(_grouped(t).select(*SEGMENT_COLUMNS), income, values)
+    base = _grouped(t).select(*SEGMENT_COLUMNS)
+    return lookups.with_income(base, income, values, one_per_key=True)
 
 
 query(lambda t: _income(t, "mass_market"), "income_one")
@@ -341,6 +345,12 @@ for _name, _spec in TEMPLATES.items():
     query(lambda t, spec=replace(_spec, row_cap=None): build.base_for(t, spec), f"base_{_name}")
 
 
+@query
+def base_pdp_staged(t: Tables) -> DataFrame:
+    """The same base with its lookup written first, so that its size decides the join."""
+    return build.base_for(t, replace(PDP, row_cap=None), staged=True)
+
+
 @query
 def base_homepage_capped(t: Tables) -> DataFrame:
     return build.base_for(t, HOMEPAGE)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -31,3 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/basewright/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """`df`, computed now, written to the shared folder and read back.
+
+    Work after it starts from files: a lost executor re-reads them instead of
+    recomputing, and Spark knows their real size, so that it broadcasts the result
+    only if that is below `spark.sql.autoBroadcastJoinThreshold`.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,118 +1,96 @@
 """The collections data model as views over the given TPC-H-ish tables.
 
-`FIXTURES.md` gives the same views in SQL. Nothing is stored: every view is a
-lazy DataFrame, so the work of a query grows with the tables below it.
+`FIXTURES.md` describes the views. Nothing is stored: every view is a lazy
+DataFrame, so the work of a query grows with the tables below it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import TIERS
 from .collections import latest_state
 from .tables import Tables
 
-FIRST_DAY = "2026-02-28"
+# The columns the views use; stating them saves reading a footer per table to learn them.
+SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+    "o_orderdate TIMESTAMP_NTZ",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+}
 TIER_DIVISORS = dict(zip(TIERS, (7, 11, 13, 17)))
 
 
-def _day(offset: str) -> Column:
-    return F.date_add(F.lit(FIRST_DAY).cast("date"), F.col(offset))
-
-
-def _month(day: str) -> Column:
-    return F.lit(day).cast("date")
-
-
-def _prototype(key: str) -> Column:
-    return F.concat(F.lit("proto_"), (F.col(key) % 5).cast("string"))
-
-
 def collections_daily(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     # lineitem repeats (order, line) pairs; all other columns follow from the pair
     # and from orders' primary key, so the two slim columns are deduplicated first.
     days = lineitem.select("l_orderkey", "l_linenumber").distinct()
-    order, customer = F.col("o_orderkey"), F.col("o_custkey")
-    on_card = (customer % 3 == 0) | ((customer % 3 == 2) & (order % 2 == 0))
-    return days.join(orders, days["l_orderkey"] == orders["o_orderkey"]).select(
-        order.alias("collection__id"),
-        customer.alias("customer__id"),
-        F.when(customer % 10 < 8, "person").otherwise("company").alias("customer__type"),
-        F.when(
-            order % 97 != 0, ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 400).cast("int")
-        ).alias("product__days_late"),
-        F.col("o_orderstatus").alias("collection__status"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("collection__cured"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("date")).alias(
-            "collection__end"
-        ),
-        _prototype("o_custkey").alias("prototype"),
-        _day("l_linenumber").alias("date"),
-        F.when(on_card, "cc").otherwise("ll").alias("product"),
+    return days.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "o_orderkey AS collection__id",
+        "o_custkey AS customer__id",
+        "CASE WHEN o_custkey % 10 < 8 THEN 'person' ELSE 'company' END AS customer__type",
+        """CASE WHEN l_orderkey % 97 <> 0 THEN CAST((l_orderkey * 7 + l_linenumber) % 400 AS INT)
+           END AS product__days_late""",
+        "o_orderstatus AS collection__status",
+        "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS collection__cured",
+        "CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS collection__end",
+        "concat('proto_', CAST(o_custkey % 5 AS STRING)) AS prototype",
+        "date_add(DATE '2026-02-28', l_linenumber) AS date",
+        # On the order's own columns, so that a product filter reaches the scan of orders.
+        """CASE WHEN o_custkey % 3 = 0 OR (o_custkey % 3 = 2 AND o_orderkey % 2 = 0)
+           THEN 'cc' ELSE 'll' END AS product""",
     )
 
 
 def customers(customer: DataFrame) -> DataFrame:
-    kind = F.col("c_custkey") % 20
-    tags = (
-        F.when(kind == 0, F.array(F.lit("fraud_id"), F.lit("x")))
-        .when(kind == 1, F.array(F.lit("Beta")))
-        .when(kind == 2, F.array(F.lit("suspected")))
-        .when(kind == 3, F.lit(None))
-        .when(kind == 4, F.array(F.lit("AML")))
-        .when(kind == 5, F.array(F.lit("Customer_group_owner")))
-        .when(kind == 6, F.array(F.lit(None).cast("string"), F.lit("ok")))
-        .otherwise(F.array(F.lit("ok")))
-    )
-    contracts = F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
-    )
+    """One or two contracts per customer."""
+    contracts = "explode(CASE WHEN c_custkey % 4 = 0 THEN array(0, 1) ELSE array(0) END)"
     return (
-        customer.where(F.col("c_custkey") % 50 != 49)
-        .select("c_custkey", F.explode(contracts).alias("contract"))
-        .select(
-            F.col("c_custkey").alias("customer__id"),
-            _prototype("c_custkey").alias("prototype"),
-            tags.alias("customer__tags"),
+        customer.where("c_custkey % 50 <> 49")
+        .selectExpr("c_custkey", f"{contracts} AS contract")
+        .selectExpr(
+            "c_custkey AS customer__id",
+            "concat('proto_', CAST(c_custkey % 5 AS STRING)) AS prototype",
+            """CASE c_custkey % 20
+               WHEN 0 THEN array('fraud_id', 'x') WHEN 1 THEN array('Beta')
+               WHEN 2 THEN array('suspected') WHEN 3 THEN NULL WHEN 4 THEN array('AML')
+               WHEN 5 THEN array('Customer_group_owner') WHEN 6 THEN array(NULL, 'ok')
+               ELSE array('ok') END AS customer__tags""",
         )
     )
 
 
 def tags_daily(customers: DataFrame) -> DataFrame:
     """Tags seen on the first day only: 'ever tagged' must still catch them."""
-    return customers.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+    return customers.selectExpr("*", "explode(array(1, 2)) AS k").selectExpr(
         "customer__id",
-        F.when(F.col("k") == 1, F.col("customer__tags"))
-        .otherwise(F.array(F.lit("ok")))
-        .alias("customer__tags"),
-        _day("k").alias("date"),
+        "CASE WHEN k = 1 THEN customer__tags ELSE array('ok') END AS customer__tags",
+        "date_add(DATE '2026-02-28', k) AS date",
     )
 
 
 def tier(orders: DataFrame, divisor: int) -> DataFrame:
-    return orders.where(F.col("o_custkey") % divisor == 0).select(
-        F.col("o_custkey").alias("customer__id")
-    )
+    return orders.where(f"o_custkey % {divisor} = 0").selectExpr("o_custkey AS customer__id")
 
 
 def income_segments(customer: DataFrame) -> DataFrame:
-    estimated = customer.select(
-        F.col("c_custkey").alias("customer__id"),
-        F.when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), "mass_market")
-        .when(F.col("c_mktsegment") == "HOUSEHOLD", "high_income")
-        .otherwise("super_core")
-        .alias("income_segments"),
-        F.when(F.col("c_custkey") % 6 == 0, _month("2026-02-01"))
-        .otherwise(_month("2026-04-01"))
-        .alias("income_month"),
+    estimated = customer.selectExpr(
+        "c_custkey AS customer__id",
+        """CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'mass_market'
+           WHEN c_mktsegment = 'HOUSEHOLD' THEN 'high_income' ELSE 'super_core'
+           END AS income_segments""",
+        """CASE WHEN c_custkey % 6 = 0 THEN DATE '2026-02-01' ELSE DATE '2026-04-01'
+           END AS income_month""",
     )
-    conflicting = customer.where(F.col("c_custkey") % 9 == 0).select(
-        F.col("c_custkey").alias("customer__id"),
-        F.lit("super_core").alias("income_segments"),
-        _month("2026-05-01").alias("income_month"),
+    conflicting = customer.where("c_custkey % 9 = 0").selectExpr(
+        "c_custkey AS customer__id",
+        "'super_core' AS income_segments",
+        "DATE '2026-05-01' AS income_month",
     )
     return estimated.unionByName(conflicting)
 
@@ -120,22 +98,29 @@ def income_segments(customer: DataFrame) -> DataFrame:
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All fixture views over the parquet tables in `sf_dir`."""
 
+    @cache
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    def daily(product: str | None = None) -> DataFrame:
-        rows = collections_daily(raw("lineitem"), raw("orders"))
-        return rows if product is None else rows.where(F.col("product") == product)
+    @cache
+    def daily() -> DataFrame:
+        return collections_daily(raw("lineitem"), raw("orders"))
+
+    def of_product(product: str) -> DataFrame:
+        return daily().where(F.col("product") == product)
 
     openers: dict[str, Callable[[], DataFrame]] = {
         "collections_daily": daily,
-        "collections_cc": lambda: daily("cc").withColumn("account__id", F.col("customer__id") * 10),
-        "collections_ll": lambda: daily("ll").withColumn("loan__id", F.col("collection__id") * 10),
+        "collections_cc": lambda: of_product("cc").selectExpr(
+            "*", "customer__id * 10 AS account__id"
+        ),
+        "collections_ll": lambda: of_product("ll").selectExpr(
+            "*", "collection__id * 10 AS loan__id"
+        ),
         "collections_current": lambda: latest_state(daily()),
         "customers": lambda: customers(raw("customer")),
         "tags_daily": lambda: tags_daily(customers(raw("customer"))),
         "income_segments": lambda: income_segments(raw("customer")),
-        "orders": lambda: raw("orders"),
     }
     for name, divisor in TIER_DIVISORS.items():
         openers[f"tier_{name}"] = lambda d=divisor: tier(raw("orders"), d)
