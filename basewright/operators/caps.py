@@ -32,8 +32,9 @@ def _salted(df: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def _total_order(df: DataFrame, order_by: Sequence[str]) -> list[str]:
-    return [*order_by, *(c for c in df.columns if c not in order_by)]
+def _total_order(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> list[str]:
+    """`order_by`, then every other column that can still tell two rows of a group apart."""
+    return [*order_by, *(c for c in df.columns if c not in (*order_by, *by))]
 
 
 def first_rows(df: DataFrame, cap: int, order_by: Sequence[str], salts: int = SALTS) -> DataFrame:
@@ -70,6 +71,10 @@ def cap_column(by: Sequence[str], caps: Mapping[str, int], default: int) -> Colu
     )
 
 
+def cap_of(combo: Sequence[str], caps: Mapping[str, int] | None, default: int) -> int:
+    return checked_cap((caps or {}).get(combo_key(*combo), default))
+
+
 def cap_per_combo(
     df: DataFrame,
     default: int,
@@ -80,13 +85,15 @@ def cap_per_combo(
 ) -> DataFrame:
     """At most so many rows of each combination, the first ones by `order_by`.
 
+    Other columns break ties, so the result does not depend on how rows are spread.
+
     There are only a handful of combinations, so ranking them directly would sort
     the base in a handful of tasks. Each combination is cut down inside `salts`
     parallel slices first; the final ranking sees at most `salts * cap` rows of it.
     """
-    order = _total_order(df, order_by)
+    order = _total_order(df, order_by, by)
     cap = cap_column(by, caps or {}, default)
-    in_slice = Window.partitionBy(*by, "_salt").orderBy(*order)
+    in_slice = Window.partitionBy("_salt", *by).orderBy(*order)
     in_combo = Window.partitionBy(*by).orderBy(*order)
     return (
         _salted(df, salts)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, LATENESS_VALUES, SEGMENT, SEGMENTS
-from ..operators.caps import cap_per_combo, checked_cap, combo_key
+from ..operators.caps import any_rows, cap_of, cap_per_combo, checked_cap, combo_key
 from .shared import new_path
 
 ALLOWED = {SEGMENT: SEGMENTS, LATENESS: LATENESS_VALUES}
@@ -96,10 +96,12 @@ def save_split(
 ) -> dict[str, DataFrame]:
     """Save one table per combination; returns the saved tables by name.
 
-    The base is computed once: all combinations are capped together and written to
-    one partitioned table in the shared folder. That written table ends the lineage,
-    so losing an executor later costs no more than re-reading files, and each named
-    table reads just its own partition.
+    The base is computed once and written to one partitioned table in the shared
+    folder. That written table ends the lineage, so losing an executor later costs
+    no more than re-reading files, and each named table reads just its own partition.
+
+    With `order_by`, caps keep the first rows and are applied to all combinations
+    together before that table is written; without, each keeps any rows.
     """
     spark = df.sparkSession
     values = split_values(mode, segments, lateness)
@@ -108,21 +110,23 @@ def save_split(
         raise ValueError(f"columns {missing} are not in the base; it has {df.columns}")
     if caps and row_cap is None:
         raise ValueError("caps per combination need a default cap")
-    for cap in (caps or {}).values():
-        checked_cap(cap)
+    if row_cap is not None:
+        for cap in (row_cap, *(caps or {}).values()):
+            checked_cap(cap)
 
     parts = {c: f"split_{c}" for c in values}
     rows = df.where(reduce(and_, (F.col(c).isin(*kept) for c, kept in values.items())))
     rows = rows.select(*columns, *(F.col(c).alias(part) for c, part in parts.items()))
-    if row_cap is not None:
+    if row_cap is not None and order_by:
         rows = cap_per_combo(rows, row_cap, caps, tuple(parts.values()), order_by)
     path = new_path(spark, "split")
     rows.write.partitionBy(*parts.values()).parquet(path)
     written = spark.read.schema(rows.schema).parquet(path)
 
-    return {
-        table: save_table(
-            written.where(_equals(tuple(parts.values()), combo)).select(*columns), table, folder
-        )
-        for combo, table in table_names(name, values).items()
-    }
+    saved = {}
+    for combo, table in table_names(name, values).items():
+        chosen = written.where(_equals(tuple(parts.values()), combo)).select(*columns)
+        if row_cap is not None and not order_by:
+            chosen = any_rows(chosen, cap_of(combo, caps, row_cap))
+        saved[table] = save_table(chosen, table, folder)
+    return saved
