@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, SEGMENT
 
-SALTS = 64
+# Rows are ranked in so many slices, the survivors in fewer, and so on. Each number
+# divides the one before, so a later slice is a union of earlier ones.
+SLICES = (1024, 32)
 
 
 def checked_cap(cap: int) -> int:
@@ -24,36 +26,60 @@ def any_rows(df: DataFrame, cap: int) -> DataFrame:
     return df.limit(checked_cap(cap))
 
 
-def _salted(df: DataFrame, salts: int) -> DataFrame:
+def _salted(df: DataFrame, slices: int) -> DataFrame:
     # Any salt gives the same result; this one also spreads rows that are equal
     # in every column, as long as they come from different input partitions.
     return df.withColumn("_source", F.spark_partition_id()).withColumn(
-        "_salt", F.pmod(F.xxhash64("_source", *df.columns), F.lit(salts))
+        "_salt", F.pmod(F.xxhash64("_source", *df.columns), F.lit(slices))
     )
 
 
+def _first_in_slices(
+    df: DataFrame,
+    cap: Column,
+    largest: int,
+    by: Sequence[str],
+    order: Sequence[str],
+    slices: Sequence[int],
+) -> DataFrame:
+    """Rows that can still be among the first of their group: the first of every slice.
+
+    A slice of the whole holds a small part of a group; from the second step on it
+    holds at most `slices[i - 1] / slices[i] * cap` rows. So no task has to rank a
+    whole group, however few groups there are and however large one is.
+
+    Up to a small `largest` cap none of this is needed: there Spark itself keeps just
+    the first rows of every group in each task before it shuffles.
+    """
+    threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    if largest <= int(threshold):
+        return df
+    rows = _salted(df, slices[0])
+    for n in slices:
+        in_slice = Window.partitionBy("_slice", *by).orderBy(*order)
+        rows = (
+            rows.withColumn("_slice", F.col("_salt") % n)
+            .withColumn("_rank", F.row_number().over(in_slice))
+            .where(F.col("_rank") <= cap)
+        )
+    return rows.select(*df.columns)
+
+
 def _total_order(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> list[str]:
     """`order_by`, then every other column that can still tell two rows of a group apart."""
     return [*order_by, *(c for c in df.columns if c not in (*order_by, *by))]
 
 
-def first_rows(df: DataFrame, cap: int, order_by: Sequence[str], salts: int = SALTS) -> DataFrame:
+def first_rows(
+    df: DataFrame, cap: int, order_by: Sequence[str], slices: Sequence[int] = SLICES
+) -> DataFrame:
     """The first `cap` rows by `order_by`, other columns breaking ties.
 
-    Every salt keeps its own first rows in parallel, so the last step sees at
-    most `salts * cap` rows however large `df` is.
+    The last step sees at most `slices[-1] * cap` rows however large `df` is.
     """
-    checked_cap(cap)
     order = _total_order(df, order_by)
-    in_salt = Window.partitionBy("_salt").orderBy(*order)
-    return (
-        _salted(df, salts)
-        .withColumn("_rank", F.row_number().over(in_salt))
-        .where(F.col("_rank") <= cap)
-        .select(*df.columns)
-        .orderBy(*order)
-        .limit(cap)
-    )
+    kept = _first_in_slices(df, F.lit(checked_cap(cap)), cap, (), order, slices)
+    return kept.orderBy(*order).limit(cap)
 
 
 def combo_key(*values: str | None) -> str:
@@ -81,26 +107,21 @@ def cap_per_combo(
     caps: Mapping[str, int] | None = None,
     by: Sequence[str] = (SEGMENT, LATENESS),
     order_by: Sequence[str] = (),
-    salts: int = SALTS,
+    slices: Sequence[int] = SLICES,
 ) -> DataFrame:
     """At most so many rows of each combination, the first ones by `order_by`.
 
     Other columns break ties, so the result does not depend on how rows are spread.
-
-    There are only a handful of combinations, so ranking them directly would sort
-    the base in a handful of tasks. Each combination is cut down inside `salts`
-    parallel slices first; the final ranking sees at most `salts * cap` rows of it.
+    The last ranking sees at most `slices[-1] * cap` rows of a combination.
     """
     order = _total_order(df, order_by, by)
     cap = cap_column(by, caps or {}, default)
-    in_slice = Window.partitionBy("_salt", *by).orderBy(*order)
+    largest = max(default, *(caps or {}).values()) if caps else default
     in_combo = Window.partitionBy(*by).orderBy(*order)
     return (
-        _salted(df, salts)
-        .withColumn("_rank", F.row_number().over(in_slice))
-        .where(F.col("_rank") <= cap)
-        .select(*df.columns)
+        _first_in_slices(df, cap, largest, by, order, slices)
+        # The largest cap as a plain number is what Spark needs to drop rows early.
         .withColumn("_rank", F.row_number().over(in_combo))
-        .where(F.col("_rank") <= cap)
-        .select(*df.columns)
+        .where((F.col("_rank") <= largest) & (F.col("_rank") <= cap))
+        .drop("_rank")
     )

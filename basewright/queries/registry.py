@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..functions.vocabulary import COLUMN_NAMES, CUSTOMER, PROTOTYPE, TAGS
 from ..operators import caps, checks, filters, grouping, lookups, tags
 from ..plans import build
+from ..plans.save import save_base
 from ..plans.spec import BaseSpec
 from ..plans.stages import stage_counts as count_stages
 from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP, TEMPLATES
@@ -380,30 +381,25 @@ def limit_per_combo(t: Tables) -> DataFrame:
 
 @query
 def save_roundtrip(t: Tables) -> DataFrame:
-    rows = build.base_for(t, ELIGIBILITY_EXACT)
-    return sinks.save_table(rows, "eligibility_base", new_path(rows.sparkSession, "save"))
+    folder = new_path(t["customers"].sparkSession, "save")
+    return save_base(t, ELIGIBILITY_EXACT, "eligibility_base", folder=folder)["eligibility_base"]
 
 
 @query
 def csv_roundtrip(t: Tables) -> DataFrame:
-    rows = build.base_for(t, ELIGIBILITY_EXACT)
-    spark = rows.sparkSession
-    sinks.save_table(rows, "eligibility_csv_base", new_path(spark, "save"))
-    [path] = sinks.export_csv(spark, ["eligibility_csv_base"], new_path(spark, "csv"))
-    return spark.read.schema(rows.schema).option("header", "true").csv(path)
+    spark = t["customers"].sparkSession
+    folder = new_path(spark, "save")
+    saved = save_base(t, ELIGIBILITY_EXACT, "eligibility_csv_base", folder=folder)
+    [path] = sinks.export_csv(spark, list(saved), new_path(spark, "csv"))
+    [table] = saved.values()
+    return spark.read.schema(table.schema).option("header", "true").csv(path)
 
 
-def _split(t: Tables, mode: str, **options) -> DataFrame:
+def _split(t: Tables, mode: str, row_cap: int | None = None, **options) -> DataFrame:
     """All tables of a split, read back, each row with the table it was saved in."""
-    rows = build.enriched_base(t, ELIGIBILITY_EXACT)
-    saved = sinks.save_split(
-        rows,
-        f"base_by_{mode}",
-        mode,
-        ELIGIBILITY_EXACT.columns,
-        folder=new_path(rows.sparkSession, "save"),
-        **options,
-    )
+    folder = new_path(t["customers"].sparkSession, "save")
+    spec = replace(ELIGIBILITY_EXACT, row_cap=row_cap)
+    saved = save_base(t, spec, f"base_by_{mode}", split=mode, folder=folder, **options)
     marked = [table.withColumn("saved_as", F.lit(name)) for name, table in saved.items()]
     return reduce(DataFrame.unionByName, marked)
 

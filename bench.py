@@ -131,7 +131,7 @@ def main() -> None:
         "value": total,
         "unit": "sec",
         "queries": times,
-        "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf") or 0),
+        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "cpus": int(CPUS),
     }
     print(json.dumps(result), flush=True)

@@ -28,22 +28,34 @@ def expected(data, cap_of):
     return Counter(kept)
 
 
-@pytest.mark.parametrize("salts", [1, 7, 64])
-@pytest.mark.parametrize("partitions", [1, 9])
-def test_caps_per_combination_match_brute_force(spark, salts, partitions):
+@pytest.mark.parametrize("slices,partitions", [((1,), 1), ((7,), 9), ((64, 8), 1), ((1024, 32), 9)])
+def test_caps_per_combination_match_brute_force(spark, slices, partitions):
     data = sample()
     caps = {"cc_only_long": 900, "multi_debt_short": 3, "ll_only_long": 100_000}
     df = spark.createDataFrame(data, SCHEMA).repartition(partitions)
-    got = cap_per_combo(df, 50, caps, order_by=["customer__id"], salts=salts)
+    got = cap_per_combo(df, 50, caps, order_by=["customer__id"], slices=slices)
     assert Counter(tuple(r) for r in got.collect()) == expected(data, lambda c: caps.get(c, 50))
     assert got.columns == df.columns
 
 
-def test_first_rows_match_brute_force(spark):
+def test_small_caps_match_brute_force_and_are_cut_before_the_shuffle(spark):
+    data = sample()
+    df = spark.createDataFrame(data, SCHEMA).repartition(9)
+    got = cap_per_combo(df, 50, {"cc_only_long": 70}, order_by=["customer__id"])
+    wanted = expected(data, lambda combo: 70 if combo == "cc_only_long" else 50)
+    assert Counter(tuple(r) for r in got.collect()) == wanted
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    before_shuffle = text.split("Exchange hashpartitioning(segment")[1]
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "row_number(), 70, Partial" in before_shuffle
+
+
+@pytest.mark.parametrize("cap", [3, 1000, 1001, 1500])
+def test_first_rows_match_brute_force(spark, cap):
     data = sample()
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
-    got = first_rows(df, 1500, ["customer__id"])
-    assert Counter(tuple(r) for r in got.collect()) == Counter(sorted(data)[:1500])
+    got = first_rows(df, cap, ["customer__id"])
+    assert Counter(tuple(r) for r in got.collect()) == Counter(sorted(data)[:cap])
 
 
 def test_caps_larger_than_the_data_keep_everything(spark):

@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import pytest
 
 from basewright.plans.build import enriched_base
+from basewright.plans.save import save_base
 from basewright.plans.templates import ELIGIBILITY_EXACT
 from basewright.sinks import shared
 from basewright.sinks.tables import export_csv, preview, save_split, save_table, split_values
@@ -11,7 +14,7 @@ COLUMNS = ELIGIBILITY_EXACT.columns
 
 @pytest.fixture(scope="module")
 def base(spark):
-    return enriched_base(fixture_tables(spark, "/root/testdata/sf0.001"), ELIGIBILITY_EXACT)
+    return enriched_base(fixture_tables(spark, "/root/testdata/sf0.01"), ELIGIBILITY_EXACT)
 
 
 def test_split_tables_are_disjoint_and_complete(base, rows, tmp_path):
@@ -72,6 +75,38 @@ def test_senseless_splits_are_refused(base):
         save_split(base, "x", "segment", COLUMNS, row_cap=5, caps={"cc_only": 0})
 
 
+def test_saving_a_spec(spark, base, rows, tmp_path):
+    tables = fixture_tables(spark, "/root/testdata/sf0.01")
+    spec = replace(ELIGIBILITY_EXACT, row_cap=20)
+    [single] = save_base(tables, spec, "single", folder=str(tmp_path)).values()
+    assert single.count() == 20
+    split = save_base(
+        tables, spec, "many", "lateness", caps={"long": 3}, folder=str(tmp_path), staged=True
+    )
+    short = base.where("lateness = 'short'").count()
+    counts = {name: t.count() for name, t in split.items()}
+    assert counts == {"many_long": 3, "many_short": min(20, short)}
+    assert set(rows(split["many_long"])) <= set(rows(base.select(*COLUMNS)))
+
+
+@pytest.mark.parametrize(
+    "changes,options",
+    [
+        ({}, {"caps": {"long": 3}}),
+        ({"segment": "cc_only"}, {"split": "segment"}),
+        ({"product_segment": False}, {"split": "segment"}),
+        ({"product_segment": False}, {"split": "segment_lateness"}),
+        ({"lateness_cutoff": None}, {"split": "lateness"}),
+        ({}, {"split": "segment", "segments": ()}),
+        ({"row_cap": None}, {"split": "segment", "caps": {"cc_only": 3}}),
+    ],
+)
+def test_wishes_that_cannot_be_saved(spark, changes, options):
+    tables = fixture_tables(spark, "/root/testdata/sf0.01")
+    with pytest.raises(ValueError):
+        save_base(tables, replace(ELIGIBILITY_EXACT, **changes), "never", **options)
+
+
 def test_saving_replaces(spark, tmp_path, capsys):
     save_table(spark.range(5), "again", str(tmp_path))
     assert save_table(spark.range(3), "again", str(tmp_path)).count() == 3
