@@ -117,6 +117,14 @@ def seconds(make) -> float:
     return round(min(once() for _ in range(RUNS)), 3)
 
 
+def scale_factor(folder: str) -> float | str:
+    name = os.path.basename(folder.rstrip("/"))
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     spark = session()
     times = {name: seconds(lambda q=QUERIES[name]: q(spark, SF_DIR)) for name in HEADLINE}
@@ -131,7 +139,7 @@ def main() -> None:
         "value": total,
         "unit": "sec",
         "queries": times,
-        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
+        "sf": scale_factor(SF_DIR),
         "cpus": int(CPUS),
     }
     print(json.dumps(result), flush=True)
