@@ -75,7 +75,8 @@ def first_rows(
 ) -> DataFrame:
     """The first `cap` rows by `order_by`, other columns breaking ties.
 
-    The last step sees at most `slices[-1] * cap` rows however large `df` is.
+    For large caps the last step sees at most `slices[-1] * cap` rows; for small ones it
+    sees at most `cap` rows of each task.
     """
     order = _total_order(df, order_by)
     kept = _first_in_slices(df, F.lit(checked_cap(cap)), cap, (), order, slices)
@@ -112,7 +113,8 @@ def cap_per_combo(
     """At most so many rows of each combination, the first ones by `order_by`.
 
     Other columns break ties, so the result does not depend on how rows are spread.
-    The last ranking sees at most `slices[-1] * cap` rows of a combination.
+    The last ranking sees at most `slices[-1] * cap` rows of a combination or, for small
+    caps, `cap` rows of it from each task.
     """
     order = _total_order(df, order_by, by)
     cap = cap_column(by, caps or {}, default)
