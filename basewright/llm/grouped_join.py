@@ -10,7 +10,8 @@ their similarity is at least the threshold. The steps:
 3. A node's prefix is its first n - ceil(t n) + 1 shingles: linked nodes share a shingle of
    their prefixes. Nodes with the same prefix and size form a group.
 4. Groups that share a prefix shingle become candidates if their sizes and the positions of
-   the shingle allow the similarity; only then are they expanded and members verified.
+   the shingle allow the similarity; only then are they expanded and members verified,
+   by a bit map of each set that rules out most, then by the whole sets of the rest.
 
 A group of n near copies has n^2 / 2 links, which are not written out. First each group is
 verified against one other per shingle and size class, the first there (a star). Nodes
@@ -80,13 +81,32 @@ def bucket_counts(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def heat(docs: DataFrame, near: Near):
-    """Per bucket, how many times it doubles the mean: 0 for ordinary ones. SKETCH bytes."""
+    """Per bucket a class of frequency, 0 for ordinary ones: SKETCH bytes.
+
+    Ordinary buckets vary around the mean by its root; a bucket that holds a frequent
+    shingle stands out by that shingle's frequency.
+    """
     import numpy as np
 
     n = np.zeros(SKETCH)
     for r in bucket_counts(docs, near).toLocalIterator():
         n[r["bucket"]] = r["n"]
-    return np.clip(np.log2(np.maximum(n, 1) / max(n.mean(), 1)), 0, 100).astype(np.uint8)
+    usual = max(np.median(n), 1.0)
+    return np.log2(1 + np.maximum(n - usual, 0) / (4 * usual**0.5)).astype(np.uint8)
+
+
+def parity_bits(found):
+    """A bit per place that an odd number of shingles fall on, as 64-bit words; about one place a shingle.
+
+    Each shingle that only one of two sets has flips one bit, so the sets differ in at least
+    as many shingles as the bits differ in places. Halves combined by exclusive or are the bits
+    over half as many places.
+    """
+    import numpy as np
+
+    places = max(64, 1 << (len(found).bit_length() - 1))
+    odd = np.bincount(((found >> np.uint64(24)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def least_overlap(a: Column, b: Column, near: Near) -> Column:
@@ -97,7 +117,7 @@ def least_overlap(a: Column, b: Column, near: Near) -> Column:
 
 
 def prefixes(docs: DataFrame, near: Near) -> DataFrame:
-    """`id`, `n`, `k1`, `k2` (a 128-bit digest of the set) and `prefix` of every document."""
+    """`id`, `n`, `k1`, `k2` (a 128-bit digest of the set), `prefix` and `bits` of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(heat(docs, near))
 
     def run(batches: Iterator) -> Iterator:
@@ -107,7 +127,7 @@ def prefixes(docs: DataFrame, near: Near) -> DataFrame:
 
         hot = shared.value
         for batch in batches:
-            size, k1, k2, prefix = [], [], [], []
+            size, k1, k2, prefix, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, near.words)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
@@ -117,10 +137,12 @@ def prefixes(docs: DataFrame, near: Near) -> DataFrame:
                 k1.append(int(digest[0]))
                 k2.append(int(digest[1]))
                 prefix.append(found[order[:length]].view(np.int64))
+                bits.append(parity_bits(found))
             arrays = [batch.column(0), pa.array(size, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "prefix"])
+            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (prefix, bits)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "k1", "k2", "prefix", "bits"])
 
-    return map_batches(docs.select("id", "text"), run, "id long, n int, k1 long, k2 long, prefix array<long>")
+    return map_batches(docs.select("id", "text"), run, "id long, n int, k1 long, k2 long, prefix array<long>, bits array<long>")
 
 
 def _node(row: Column, k1: Column) -> Column:
@@ -162,9 +184,9 @@ def _size_class(n: Column, near: Near) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(OF / near.hundredths))).cast("int")
 
 
-def _postings(groups: DataFrame) -> DataFrame:
+def _postings(groups: DataFrame, *more: str) -> DataFrame:
     """A row per group and shingle of its prefix."""
-    return groups.select(*(c for c in groups.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "token"))
+    return groups.select("lead", "n", *more, F.posexplode("prefix").alias("pos", "token"))
 
 
 def _possible(n: Column, pos: Column, m: Column, at: Column, near: Near) -> Column:
@@ -194,7 +216,7 @@ def remaining_pairs(nodes: DataFrame, near: Near) -> DataFrame:
     """
     entry = ["g", "n", "component"]
     entries = written(nodes.groupBy(*entry, "prefix").agg(F.min("node").alias("lead")), "entries")
-    postings = _postings(entries)
+    postings = _postings(entries, "component")
     mixed_tokens = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     live = written(postings.join(with_own_shuffle(mixed_tokens), "token", "left_semi").select("token", "pos", "n", "lead", "component"), "postings")
     one, other = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "n", "lead", "component"))) for x in "ab")
@@ -207,24 +229,43 @@ def remaining_pairs(nodes: DataFrame, near: Near) -> DataFrame:
     return pairs.join(left, "lead_a").join(right, "lead_b").select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return written(linked(pairs, written(sets_of(docs, written(nodes, "nodes"), near), "sets"), near), "links")
+def _fold(bits: Column, places: Column) -> Column:
+    """`bits` over `places` words: as they are, or with one half laid on the other."""
+    half = F.zip_with(F.slice(bits, F.lit(1), places), F.slice(bits, places + 1, places), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > places, half).otherwise(bits)
+
+
+def not_too_different(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """The pairs whose bits differ in no more places than linked sets may differ in shingles."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    places = F.least(F.size("bits_a"), F.size("bits_b"))
+    # Sizes of a possible pair differ by less than a factor of two, the words by one halving at most.
+    differ = F.zip_with(_fold(F.col("bits_a"), places), _fold(F.col("bits_b"), places), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    n = F.col("n_a") + F.col("n_b")
+    allowed = n - 2 * least_overlap(F.col("n_a"), F.col("n_b"), near)
+    return both.where(F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= allowed).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """The pairs that are links: first by their bits, then what passes by the whole sets."""
+    pairs = written(not_too_different(pairs, nodes, near), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return written(linked(pairs, written(sets_of(docs, written(ends, "ends"), near), "sets"), near), "links")
 
 
 def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text") -> DataFrame:
     """`row`, `n_shingles` and `component_id` (the least id reachable by links) of every document."""
     plain = docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text"))
     every = written(prefixes(plain, near), "prefixes")
-    nodes = every.where("n > 0").groupBy("k1", "k2", "n", "prefix").agg(F.min("id").alias("id"))
-    nodes = nodes.select("k1", "k2", "n", "prefix", _node(F.col("id"), F.col("k1")).alias("node"), F.xxhash64("n", "prefix").alias("g"))
+    nodes = every.where("n > 0").groupBy("k1", "k2", "n", "prefix", "bits").agg(F.min("id").alias("id"))
+    nodes = nodes.select("k1", "k2", "n", "prefix", "bits", _node(F.col("id"), F.col("k1")).alias("node"), F.xxhash64("n", "prefix").alias("g"))
     nodes = written(nodes, "nodes")
     groups = written(nodes.groupBy("g", "n", "prefix").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "groups")
-    links = _verified(star_pairs(nodes, groups, near), plain, near)
+    links = _verified(star_pairs(nodes, groups, near), nodes, plain, near)
     labels = components(links)
-    labelled = nodes.join(with_own_shuffle(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = _verified(remaining_pairs(written(labelled, "labelled"), near), plain, near)
+    labelled = nodes.select("node", "g", "n", "prefix").join(with_own_shuffle(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _verified(remaining_pairs(written(labelled, "labelled"), near), nodes, plain, near)
     labels = components(links.unionByName(more))
     final = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     back = every.select("id", "n", "k1", "k2").join(with_own_shuffle(final), ["k1", "k2"], "left")
