@@ -15,6 +15,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Rows that a Python task looks at together.
+ROWS_AT_ONCE = 1024
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -49,7 +51,16 @@ def ship_package(spark: SparkSession) -> None:
     context._has_package = True
 
 
+def _smaller(batches: Iterator) -> Iterator:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """`mapInArrow`, with this package at hand where the function runs."""
+    """`mapInArrow`, with this package at hand where the function runs.
+
+    The function sees few rows at once, so that a task holds few texts as Python objects.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(_smaller(batches)), schema)
