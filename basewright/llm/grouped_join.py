@@ -104,7 +104,7 @@ def parity_bits(found):
     """
     import numpy as np
 
-    places = max(64, 1 << (len(found).bit_length() - 1))
+    places = max(64, (1 << len(found).bit_length()) >> 1)
     odd = np.bincount(((found >> np.uint64(24)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
