@@ -34,7 +34,7 @@ SEGMENTS = ("cc_only", "ll_only", "multi_debt")
 LATENESS_VALUES = ("short", "long")
 INCOME_SEGMENTS = ("mass_market", "super_core", "high_income")
 TIERS = ("roxinho", "uv", "nu_plus", "u18")
-DEFAULT_ROW_CAP = 100_000
+CUSTOMER_TYPES = ("person", "company")
 
 # --- fixed values: exact tags (27) ----------------------------------------------
 EXACT_TAGS = (

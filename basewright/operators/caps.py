@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, SEGMENT
 
-# Rows are ranked in so many slices, the survivors in fewer, and so on. Each number
-# divides the one before, so a later slice is a union of earlier ones.
-SLICES = (1024, 32)
+#: So many slices are merged into one in each step.
+FAN_IN = 32
+
+
+def slices_for(df: DataFrame) -> tuple[int, ...]:
+    """Rows are ranked in so many slices, the survivors in fewer, and so on down to `FAN_IN`.
+
+    There are at least as many first slices as shuffle partitions. Each number divides
+    the one before, so a later slice is a union of earlier ones.
+    """
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = [FAN_IN]
+    while steps[0] < wanted:
+        steps.insert(0, steps[0] * FAN_IN)
+    return tuple(steps)
 
 
 def checked_cap(cap: int) -> int:
@@ -46,21 +58,16 @@ def _first_in_slices(
 
     A slice of the whole holds a small part of a group; from the second step on it
     holds at most `slices[i - 1] / slices[i] * cap` rows. So no task has to rank a
-    whole group, however few groups there are and however large one is.
-
-    Up to a small `largest` cap none of this is needed: there Spark itself keeps just
-    the first rows of every group in each task before it shuffles.
+    whole group, however few groups there are and however large one is. For small caps
+    Spark also cuts every slice inside each task before it shuffles.
     """
-    threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    if largest <= int(threshold):
-        return df
     rows = _salted(df, slices[0])
     for n in slices:
         in_slice = Window.partitionBy("_slice", *by).orderBy(*order)
         rows = (
             rows.withColumn("_slice", F.col("_salt") % n)
             .withColumn("_rank", F.row_number().over(in_slice))
-            .where(F.col("_rank") <= cap)
+            .where((F.col("_rank") <= largest) & (F.col("_rank") <= cap))
         )
     return rows.select(*df.columns)
 
@@ -71,15 +78,14 @@ def _total_order(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ())
 
 
 def first_rows(
-    df: DataFrame, cap: int, order_by: Sequence[str], slices: Sequence[int] = SLICES
+    df: DataFrame, cap: int, order_by: Sequence[str], slices: Sequence[int] | None = None
 ) -> DataFrame:
     """The first `cap` rows by `order_by`, other columns breaking ties.
 
-    For large caps the last step sees at most `slices[-1] * cap` rows; for small ones it
-    sees at most `cap` rows of each task.
+    The last step sees at most `FAN_IN * cap` rows, however many tasks read the input.
     """
     order = _total_order(df, order_by)
-    kept = _first_in_slices(df, F.lit(checked_cap(cap)), cap, (), order, slices)
+    kept = _first_in_slices(df, F.lit(checked_cap(cap)), cap, (), order, slices or slices_for(df))
     return kept.orderBy(*order).limit(cap)
 
 
@@ -98,30 +104,26 @@ def cap_column(by: Sequence[str], caps: Mapping[str, int], default: int) -> Colu
     )
 
 
-def cap_of(combo: Sequence[str], caps: Mapping[str, int] | None, default: int) -> int:
-    return checked_cap((caps or {}).get(combo_key(*combo), default))
-
-
 def cap_per_combo(
     df: DataFrame,
     default: int,
     caps: Mapping[str, int] | None = None,
     by: Sequence[str] = (SEGMENT, LATENESS),
     order_by: Sequence[str] = (),
-    slices: Sequence[int] = SLICES,
+    slices: Sequence[int] | None = None,
 ) -> DataFrame:
     """At most so many rows of each combination, the first ones by `order_by`.
 
     Other columns break ties, so the result does not depend on how rows are spread.
-    The last ranking sees at most `slices[-1] * cap` rows of a combination or, for small
-    caps, `cap` rows of it from each task.
+    The last ranking sees at most `FAN_IN * cap` rows of a combination, however many tasks
+    read the input.
     """
     order = _total_order(df, order_by, by)
     cap = cap_column(by, caps or {}, default)
     largest = max(default, *(caps or {}).values()) if caps else default
     in_combo = Window.partitionBy(*by).orderBy(*order)
     return (
-        _first_in_slices(df, cap, largest, by, order, slices)
+        _first_in_slices(df, cap, largest, by, order, slices or slices_for(df))
         # The largest cap as a plain number is what Spark needs to drop rows early.
         .withColumn("_rank", F.row_number().over(in_combo))
         .where((F.col("_rank") <= largest) & (F.col("_rank") <= cap))

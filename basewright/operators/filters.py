@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -15,6 +16,7 @@ from ..functions.vocabulary import COLLECTION_END, CURED, CUSTOMER_TYPE, DATE, D
 def checked_date(day: str) -> str:
     if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
         raise ValueError(f"snapshot date {day!r} is not of the form YYYY-MM-DD")
+    date.fromisoformat(day)  # raises ValueError for days that don't exist
     return day
 
 

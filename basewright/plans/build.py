@@ -12,10 +12,12 @@ from ..functions.columns import lateness, product_segment
 from ..functions.vocabulary import (
     CUSTOMER,
     DAYS_LATE,
+    EXACT_TAGS,
     IS_CC,
     IS_LL,
     LATENESS,
     SEGMENT,
+    TAG_NEEDLES,
 )
 from ..operators.caps import any_rows
 from ..operators.filters import all_of, days_late_between, is_cured, is_open, of_type, on_date
@@ -29,7 +31,7 @@ from ..operators.lookups import (
 from ..operators.skew import as_it_is, with_own_shuffle
 from ..operators.tags import forbidden_by_exact_tag, forbidden_by_substring
 from ..sinks.shared import written
-from ..sources.collections import collections_source, product_tables
+from ..sources.collections import collections_source, has_current_tables, product_tables
 from .spec import EXACT, BaseSpec
 
 
@@ -82,8 +84,10 @@ def forbidden_customers(tables: Mapping[str, DataFrame], spec: BaseSpec) -> Data
     if spec.tag_rule is None:
         return None
     if spec.tag_rule == EXACT:
-        return forbidden_by_exact_tag(tables["customers"])
-    return forbidden_by_substring(tables["tags_daily"], fold_needles=spec.fold_needles)
+        return forbidden_by_exact_tag(tables["customers"], spec.forbidden_tags or EXACT_TAGS)
+    return forbidden_by_substring(
+        tables["tags_daily"], spec.needles or TAG_NEEDLES, spec.fold_needles
+    )
 
 
 def lookups(tables: Mapping[str, DataFrame], spec: BaseSpec) -> dict:
@@ -94,8 +98,10 @@ def lookups(tables: Mapping[str, DataFrame], spec: BaseSpec) -> dict:
     if spec.tiers:
         wanted["tiers"] = {name: tables[f"tier_{name}"] for name in spec.tiers}
     if spec.income:
-        # The newest day is read from the first product table, before any filter.
-        _, dated = product_tables(tables, spec.credit_card, spec.lending, spec.current)[0]
+        # The newest day is read from the first product table, before any filter. Where no
+        # ready-made current table exists, the daily one has the same newest day.
+        ready = spec.current and has_current_tables(tables, spec.credit_card, spec.lending)
+        _, dated = product_tables(tables, spec.credit_card, spec.lending, ready)[0]
         wanted["income"] = income_by_customer(recent_income(tables["income_segments"], dated))
         wanted["income_values"] = spec.income
     return wanted
@@ -109,15 +115,15 @@ def project(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def enriched_base(
-    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool = False
+    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None
 ) -> DataFrame:
     """The base after all lookups, with every column and without a cap.
 
-    `staged` writes the combined lookup to the shared folder first. Its size is then
+    `staged`, the rule for a base without grouping, writes the combined lookup to the shared folder first. Its size is then
     known before the base is touched, so a small one is broadcast and a base without
     grouping, the largest input there is, need not be shuffled at all.
     """
-    if staged:
+    if not spec.group_by if staged is None else staged:
         prepare = partial(written, purpose="lookup")
     elif spec.group_by == (CUSTOMER,):
         prepare = as_it_is
@@ -132,6 +138,8 @@ def finish_base(rows: DataFrame, spec: BaseSpec) -> DataFrame:
     return rows if spec.row_cap is None else any_rows(rows, spec.row_cap)
 
 
-def base_for(tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool = False) -> DataFrame:
+def base_for(
+    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None
+) -> DataFrame:
     """The whole base a spec describes."""
     return finish_base(enriched_base(tables, spec, staged), spec)

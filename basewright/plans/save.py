@@ -22,7 +22,7 @@ def save_base(
     caps: Mapping[str, int] | None = None,
     order_by: Sequence[str] = (),
     folder: str | None = None,
-    staged: bool = False,
+    staged: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Save the base of a spec; returns the saved tables by name.
 

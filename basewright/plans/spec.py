@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from ..functions.vocabulary import (
     CUSTOMER,
-    DEFAULT_ROW_CAP,
+    CUSTOMER_TYPES,
     PROTOTYPE,
     SEGMENTS,
 )
@@ -29,7 +29,10 @@ class BaseSpec:
     lookups    tag_rule removes non-contactable customers; attributes come from the
                customers table; tiers are all required; income adds 'income_segments'
                and, for fewer than all values, keeps only those.
-    output     segment keeps one segment; columns and row_cap shape the result.
+    output     segment keeps one segment; columns shape the result. No row is dropped
+               unless row_cap asks for it.
+    tag lists  forbidden_tags (exact rule) and needles (substring rule) replace the
+               built-in ones.
     """
 
     credit_card: bool = False
@@ -50,13 +53,19 @@ class BaseSpec:
     income: tuple[str, ...] = ()
     segment: str | None = None
     columns: tuple[str, ...] = (CUSTOMER, PROTOTYPE)
-    row_cap: int | None = DEFAULT_ROW_CAP
+    row_cap: int | None = None
+    forbidden_tags: tuple[str, ...] | None = None
+    needles: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
         if self.snapshot_date is not None:
             checked_date(self.snapshot_date)
         if self.current and self.snapshot_date is not None:
             raise ValueError("the current state has no snapshot date to filter by")
+        if self.customer_type not in (None, *CUSTOMER_TYPES):
+            raise ValueError(f"customer type {self.customer_type!r} is not one of {CUSTOMER_TYPES}")
+        if both := set(self.group_by) & set(self.attributes):
+            raise ValueError(f"{sorted(both)} cannot be both a grouping key and looked up afterwards")
         if self.days_late is not None:
             checked_range(*self.days_late)
         if self.group_by and CUSTOMER not in self.group_by:
@@ -70,6 +79,10 @@ class BaseSpec:
                 raise ValueError(f"segment {self.segment!r} is not one of {SEGMENTS}")
         if self.tag_rule not in (None, EXACT, SUBSTRING):
             raise ValueError(f"tag rule {self.tag_rule!r} is neither exact nor substring")
+        if self.forbidden_tags is not None and self.tag_rule != EXACT:
+            raise ValueError("forbidden_tags belong to the exact tag rule")
+        if self.needles is not None and self.tag_rule != SUBSTRING:
+            raise ValueError("needles belong to the substring tag rule")
         if self.income:
             income_choice(self.income)
         if not self.columns:

@@ -155,6 +155,7 @@ SELECTS = {
     "scan_cc_daily": "SELECT * FROM collections_cc",
     "scan_ll_daily": "SELECT * FROM collections_ll",
     "current_snapshot": "SELECT * FROM collections_current",
+    "current_snapshot_advanced": "SELECT * FROM collections_current",
     "customer_tags_scan": """SELECT customer__id, prototype,
       array_to_string([coalesce(x, '<null>') FOR x IN customer__tags], '|') AS tags
       FROM customers""",
@@ -253,6 +254,11 @@ SELECTS = {
     "base_open_only": """SELECT customer__id, prototype FROM collections
       WHERE collection__end IS NULL""",
     "limit_stable": "SELECT * FROM base ORDER BY customer__id LIMIT 100",
+    "limit_stable_large": "SELECT * FROM base ORDER BY customer__id LIMIT 1200",
+    "limit_per_combo_large": """SELECT customer__id, customer__type, date FROM (
+      SELECT customer__id, customer__type, date, row_number() OVER (
+        PARTITION BY customer__type ORDER BY customer__id, date) AS rn FROM collections)
+      WHERE rn <= 1500""",
     "limit_per_combo": _capped("base", "customer__id, lateness, segment"),
     "save_roundtrip": "SELECT * FROM eligible",
     "csv_roundtrip": "SELECT * FROM eligible",

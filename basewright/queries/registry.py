@@ -18,8 +18,8 @@ from ..plans.spec import BaseSpec
 from ..plans.stages import stage_counts as count_stages
 from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP, TEMPLATES
 from ..sinks import tables as sinks
-from ..sinks.shared import new_path
-from ..sources.collections import collections_source, latest_state, renamed
+from ..sinks.shared import new_path, written
+from ..sources.collections import advanced, collections_source, latest_state, renamed
 from ..sources.fixtures import fixture_tables
 from ..sources.tables import Tables
 
@@ -70,6 +70,15 @@ def current_snapshot(t: Tables) -> DataFrame:
     return latest_state(t["collections_daily"])
 
 
+@query
+def current_snapshot_advanced(t: Tables) -> DataFrame:
+    """The state before the newest day, written, brought forward by the rows of that day."""
+    daily = t["collections_daily"]
+    newest = daily.select(F.max("date")).scalar()
+    stored = written(latest_state(daily.where(F.col("date") < newest)), "current")
+    return advanced(stored, daily.where(F.col("date") == newest))
+
+
 @query
 def customer_tags_scan(t: Tables) -> DataFrame:
     joined = F.array_join(TAGS, "|", "<null>")
@@ -376,20 +385,33 @@ def limit_per_combo(t: Tables) -> DataFrame:
     return caps.cap_per_combo(rows, DEFAULT_CAP, CAPS, order_by=[CUSTOMER])
 
 
+@query
+def limit_stable_large(t: Tables) -> DataFrame:
+    return caps.first_rows(_grouped(t).select(*SEGMENT_COLUMNS), 1200, [CUSTOMER])
+
+
+@query
+def limit_per_combo_large(t: Tables) -> DataFrame:
+    rows = collections_source(t, True, True).select(CUSTOMER, "customer__type", "date")
+    return caps.cap_per_combo(rows, 1500, {}, by=["customer__type"], order_by=[CUSTOMER, "date"])
+
+
 # --- sinks --------------------------------------------------------------------------
 
+UNCAPPED = replace(ELIGIBILITY_EXACT, row_cap=None)
+
 
 @query
 def save_roundtrip(t: Tables) -> DataFrame:
     folder = new_path(t["customers"].sparkSession, "save")
-    return save_base(t, ELIGIBILITY_EXACT, "eligibility_base", folder=folder)["eligibility_base"]
+    return save_base(t, UNCAPPED, "eligibility_base", folder=folder)["eligibility_base"]
 
 
 @query
 def csv_roundtrip(t: Tables) -> DataFrame:
     spark = t["customers"].sparkSession
     folder = new_path(spark, "save")
-    saved = save_base(t, ELIGIBILITY_EXACT, "eligibility_csv_base", folder=folder)
+    saved = save_base(t, UNCAPPED, "eligibility_csv_base", folder=folder)
     [path] = sinks.export_csv(spark, list(saved), new_path(spark, "csv"))
     [table] = saved.values()
     return spark.read.schema(table.schema).option("header", "true").csv(path)

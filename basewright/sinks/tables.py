@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, LATENESS_VALUES, SEGMENT, SEGMENTS
-from ..operators.caps import any_rows, cap_of, cap_per_combo, checked_cap, combo_key
+from ..operators.caps import cap_per_combo, checked_cap, combo_key
 from .shared import new_path
 
 ALLOWED = {SEGMENT: SEGMENTS, LATENESS: LATENESS_VALUES}
@@ -66,6 +66,9 @@ def split_values(
     if mode not in SPLITS:
         raise ValueError(f"split {mode!r} is not one of {tuple(SPLITS)}")
     asked = {SEGMENT: segments, LATENESS: lateness}
+    unknown = [v for c in SPLITS[mode] for v in asked[c] if v not in ALLOWED[c]]
+    if unknown:
+        raise ValueError(f"{unknown} are no values of {SPLITS[mode]}")
     kept = {c: tuple(v for v in ALLOWED[c] if v in asked[c]) for c in SPLITS[mode]}
     empty = [c for c, values in kept.items() if not values]
     if empty:
@@ -100,8 +103,9 @@ def save_split(
     folder. That written table ends the lineage, so losing an executor later costs
     no more than re-reading files, and each named table reads just its own partition.
 
-    With `order_by`, caps keep the first rows and are applied to all combinations
-    together before that table is written; without, each keeps any rows.
+    Caps are applied to all combinations together before that table is written, so no
+    more than the caps is ever stored. They keep the first rows by `order_by`; without it,
+    by the other columns.
     """
     spark = df.sparkSession
     values = split_values(mode, segments, lateness)
@@ -110,6 +114,9 @@ def save_split(
         raise ValueError(f"columns {missing} are not in the base; it has {df.columns}")
     if caps and row_cap is None:
         raise ValueError("caps per combination need a default cap")
+    combos = {combo_key(*combo) for combo in product(*values.values())}
+    if strange := sorted(set(caps or {}) - combos):
+        raise ValueError(f"caps are given for {strange}, which the split has no table for")
     if row_cap is not None:
         for cap in (row_cap, *(caps or {}).values()):
             checked_cap(cap)
@@ -117,7 +124,7 @@ def save_split(
     parts = {c: f"split_{c}" for c in values}
     rows = df.where(reduce(and_, (F.col(c).isin(*kept) for c, kept in values.items())))
     rows = rows.select(*columns, *(F.col(c).alias(part) for c, part in parts.items()))
-    if row_cap is not None and order_by:
+    if row_cap is not None:
         rows = cap_per_combo(rows, row_cap, caps, tuple(parts.values()), order_by)
     path = new_path(spark, "split")
     rows.write.partitionBy(*parts.values()).parquet(path)
@@ -126,7 +133,5 @@ def save_split(
     saved = {}
     for combo, table in table_names(name, values).items():
         chosen = written.where(_equals(tuple(parts.values()), combo)).select(*columns)
-        if row_cap is not None and not order_by:
-            chosen = any_rows(chosen, cap_of(combo, caps, row_cap))
         saved[table] = save_table(chosen, table, folder)
     return saved

@@ -22,8 +22,9 @@ def latest_state(daily: DataFrame, key: str = COLLECTION, date: str = DATE) -> D
     """The newest row of every collection.
 
     `row_number() = 1` lets Spark keep one row per key inside each map task
-    (WindowGroupLimit) before it shuffles, so a collection with very many days
-    sends no more than one row per task; unused columns are pruned below it.
+    (WindowGroupLimit) before it shuffles. Stored by day, a task holds a collection once,
+    so all history is shuffled: derive the state once, then use `advanced`.
+    A collection must occur once a day: of two rows of its newest day either may be kept.
     """
     if date not in daily.columns:
         raise ValueError(f"the latest state needs a {date!r} column")
@@ -35,11 +36,29 @@ def latest_state(daily: DataFrame, key: str = COLLECTION, date: str = DATE) -> D
     )
 
 
+def advanced(
+    current: DataFrame, new_days: DataFrame, key: str = COLLECTION, date: str = DATE
+) -> DataFrame:
+    """A stored latest state brought forward by the rows of later days.
+
+    Costs one pass over the state and the new days, whatever the length of the history.
+    """
+    return latest_state(current.unionByName(new_days), key, date)
+
+
 def wanted_products(credit_card: bool, lending: bool) -> tuple[bool, bool]:
     """Which product tables to read; asking for neither means both."""
     return (credit_card, lending) if credit_card or lending else (True, True)
 
 
+def has_current_tables(
+    tables: Mapping[str, DataFrame], credit_card: bool, lending: bool
+) -> bool:
+    """Whether a ready-made current table exists for the first product that is read."""
+    name = "collections_cc" if wanted_products(credit_card, lending)[0] else "collections_ll"
+    return f"{name}_current" in tables
+
+
 def product_tables(
     tables: Mapping[str, DataFrame], credit_card: bool, lending: bool, current: bool = False
 ) -> list[tuple[str, DataFrame]]:

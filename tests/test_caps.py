@@ -2,8 +2,15 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from basewright.operators.caps import any_rows, cap_per_combo, combo_key, first_rows
+from basewright.operators.caps import (
+    _first_in_slices,
+    any_rows,
+    cap_per_combo,
+    combo_key,
+    first_rows,
+)
 
 SCHEMA = "customer__id bigint, segment string, lateness string"
 
@@ -45,9 +52,16 @@ def test_small_caps_match_brute_force_and_are_cut_before_the_shuffle(spark):
     wanted = expected(data, lambda combo: 70 if combo == "cc_only_long" else 50)
     assert Counter(tuple(r) for r in got.collect()) == wanted
     text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    before_shuffle = text.split("Exchange hashpartitioning(segment")[1]
-    assert text.count("Exchange hashpartitioning") == 1
-    assert "row_number(), 70, Partial" in before_shuffle
+    first = text.rsplit("Exchange hashpartitioning(_slice", 1)[1]
+    assert "row_number(), 70, Partial" in first
+
+
+@pytest.mark.parametrize("partitions", [10, 100])
+def test_last_ranking_sees_a_bounded_number_of_rows(spark, partitions):
+    data = [(i, "cc_only", "long") for i in range(20_000)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(partitions)
+    rows = _first_in_slices(df, F.lit(5), 5, ("segment",), ("customer__id",), (1024, 32))
+    assert 0 < rows.count() <= 32 * 5
 
 
 @pytest.mark.parametrize("cap", [3, 1000, 1001, 1500])

@@ -5,19 +5,19 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from basewright.operators import lookups as L
 from basewright.operators.tags import without_forbidden
-from basewright.plans.build import base_for, enriched_base
+from basewright.plans.build import base_for, enriched_base, lookups
 from basewright.plans.spec import BaseSpec
 from basewright.plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP
+from basewright.queries.registry import QUERIES
 from basewright.sources.collections import latest_state
 from basewright.sources.fixtures import fixture_tables
 from basewright.sources.tables import Tables
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
-    name for name in contract.queries() if name.startswith("split_") or name.endswith("_roundtrip")
+    name for name in QUERIES if name.startswith("split_") or name.endswith("_roundtrip")
 }
 
 
@@ -46,9 +46,9 @@ def stored(spark, tmp_path_factory):
     return Tables.from_parquet(spark, paths)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))
 def test_no_cross_join_no_python_no_collected_group(spark, name):
-    text = plan(contract.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "collect_"):
         assert operator not in text
 
@@ -82,7 +82,7 @@ def test_ungrouped_base_is_shuffled_once(stored, conf):
         columns=("customer__id", "prototype", "income_segments"),
         row_cap=None,
     )
-    text = plan(base_for(stored, spec))
+    text = plan(base_for(stored, spec, staged=False))
     # base; attributes, forbidden and income; and their combination for the join with the base.
     assert text.count("Exchange hashpartitioning(customer__id") == 5
     [first_join] = [l for l in text.splitlines() if "SortMergeJoin" in l and l.startswith("   +- ")]
@@ -175,11 +175,22 @@ def test_hot_customer_is_reduced_before_the_shuffle(hot, stored):
 
 def test_substring_rule_is_computed_once_for_both_products(stored, small_skew_limits):
     """The anti-join is pushed into both sides of the union; the flagged keys are reused."""
-    text = plan_after_run(enriched_base(stored, PDP))
+    text = plan_after_run(enriched_base(stored, PDP, staged=False))
     assert text.count("tags_daily") + text.count("Filter (exists(") == 2
     assert text.count("ReusedExchange") == 1
 
 
+def test_a_base_without_grouping_is_staged_by_itself(stored):
+    text = plan(base_for(stored, replace(PDP, row_cap=None)))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_newest_day_is_read_without_a_window(stored):
+    spec = replace(HOMEPAGE, current=True, snapshot_date=None, income=("mass_market",), row_cap=None)
+    text = plan(lookups(stored, spec)["income"])
+    assert "row_number" not in text
+
+
 def test_staged_lookup_decides_the_join_by_its_size(stored, conf):
     spec = replace(PDP, row_cap=None)
     small = plan(base_for(stored, spec, staged=True))

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from basewright.queries.oracle import oracle_queries
+from basewright.queries.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -28,10 +30,10 @@ def _sorted(values):
     return sorted(values, key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_queries()))
 def test_same_rows_as_sql(spark, sql, name):
-    got = contract.queries()[name](spark, SF_DIR)
-    expected = sql.execute(contract.oracle_sql()[name])
+    got = QUERIES[name](spark, SF_DIR)
+    expected = sql.execute(oracle_queries()[name])
     columns = [c[0] for c in expected.description]
     types = {c[0]: TYPES[str(c[1])] for c in expected.description}
     assert dict(got.dtypes) == types
@@ -42,7 +44,7 @@ def test_same_rows_as_sql(spark, sql, name):
 
 
 def test_queries_without_sql_only_keep_arbitrary_rows(spark):
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(QUERIES) - set(oracle_queries()) == {
         "limit_rows",
         "base_homepage_capped",
     }

@@ -99,6 +99,8 @@ def test_saving_a_spec(spark, base, rows, tmp_path):
         ({"lateness_cutoff": None}, {"split": "lateness"}),
         ({}, {"split": "segment", "segments": ()}),
         ({"row_cap": None}, {"split": "segment", "caps": {"cc_only": 3}}),
+        ({}, {"split": "segment", "segments": ("cc_only", "multidebt")}),
+        ({}, {"split": "segment", "caps": {"cc_onli": 9}}),
     ],
 )
 def test_wishes_that_cannot_be_saved(spark, changes, options):

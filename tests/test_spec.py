@@ -27,6 +27,11 @@ BOTH = {"credit_card": True, "lending": True}
         {"income": ("rich",)},
         {"columns": ()},
         {"row_cap": 0},
+        {"snapshot_date": "2026-02-30"},
+        {"customer_type": "persn"},
+        {"group_by": ("customer__id", "prototype"), "attributes": ("prototype",)},
+        {"forbidden_tags": ("x",), "tag_rule": "substring"},
+        {"needles": ("x",)},
         {"row_cap": -3},
         {"group_by": ("prototype",)},
     ],
@@ -73,3 +78,7 @@ def test_unused_tables_are_never_opened(spark):
 def test_capped_templates_hold_their_cap(spark, name):
     tables = fixture_tables(spark, "/root/testdata/sf0.001")
     assert base_for(tables, replace(TEMPLATES[name], row_cap=17)).count() == 17
+
+
+def test_no_row_cap_unless_asked():
+    assert BaseSpec().row_cap is None
