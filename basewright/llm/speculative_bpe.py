@@ -178,7 +178,7 @@ class SpeculativeBpe:
 
     def _split(self, text: str) -> list[bytes]:
         """Words of a text; by the library's own splitter where Unicode versions may disagree."""
-        rare = self.rare.findall(text)
+        rare = () if text.isascii() and not any(c in text for c in NO_SPACE) else self.rare.findall(text)
         if rare and any(c in NO_SPACE or unicodedata.category(c) == "Cn" for c in rare):
             return [bytes(map(self.alphabet.__getitem__, w)) for w, _ in self.library.pre_tokenize_str(text)]
         return [w.encode() for w in self.splitter.findall(text)]
@@ -242,7 +242,9 @@ def decoded(ids: DataFrame, vocabulary: str, row: str = "doc_id") -> DataFrame:
 
         bpe = speculative_bpe(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(x or ()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            column = batch.column(1).fill_null([])
+            at, ids = column.offsets.to_pylist(), column.values.to_numpy()
+            texts = [bpe.decode(ids[i:j].tolist()).decode("utf-8", "replace") for i, j in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["row", "ids", "text"])
 
     kind = dict(ids.dtypes)[row]
