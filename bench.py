@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from basewright.functions.columns import any_tag_contains
 from basewright.functions.vocabulary import EXACT_TAGS, TAG_NEEDLES, TAGS
-from basewright.operators.tags import exploded_tags
+from basewright.operators.tags import exploded_tags, forbidden_by_exact_tag
 from basewright.plans.build import base_for
 from basewright.plans.templates import ELIGIBILITY_EXACT
 from basewright.queries.registry import QUERIES
@@ -91,7 +91,7 @@ def comparisons(spark: SparkSession, tables: Tables) -> dict:
     key = "customer__id"
 
     def filter_then_distinct():
-        return exploded_tags(many).where(F.col("tag").isin(*EXACT_TAGS)).select(key).distinct()
+        return forbidden_by_exact_tag(many)
 
     def group_then_filter():
         flag = F.max(F.col("tag").isin(*EXACT_TAGS).cast("int")).alias("flag")
