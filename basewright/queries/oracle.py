@@ -15,17 +15,27 @@ def _any_needle(column: str, fold: bool = False) -> str:
     return " OR ".join(f"instr({column}, '{n}') > 0" for n in needles)
 
 
+def _listed(values) -> str:
+    return f"list_extract([{_quoted(values)}], CAST(floor(c_custkey / 20) % {len(values)} AS INT) + 1)"
+
+
+def _not_in(table: str) -> str:
+    """Rows whose customer is not in `table`; those without a customer stay."""
+    return f"NOT EXISTS (SELECT 1 FROM (SELECT customer__id AS barred FROM {table}) WHERE barred = customer__id)"
+
+
 VIEWS = f"""
 collections_daily AS (
   SELECT DISTINCT
-    l_orderkey AS collection__id, o_custkey AS customer__id,
+    l_orderkey AS collection__id,
+    CASE WHEN l_orderkey % 101 <> 0 THEN o_custkey END AS customer__id,
     CASE WHEN o_custkey % 10 < 8 THEN 'person' ELSE 'company' END AS customer__type,
     CASE WHEN l_orderkey % 97 = 0 THEN NULL
          ELSE CAST((l_orderkey * 7 + l_linenumber) % 400 AS INT) END AS product__days_late,
     o_orderstatus AS collection__status,
     CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS collection__cured,
     CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS collection__end,
-    'proto_' || CAST(o_custkey % 5 AS VARCHAR) AS prototype,
+    'proto_' || CAST((o_custkey + l_orderkey % 2) % 5 AS VARCHAR) AS prototype,
     (DATE '2026-02-28' + l_linenumber) AS date,
     CASE WHEN o_custkey % 3 = 0 OR (o_custkey % 3 = 2 AND l_orderkey % 2 = 0)
          THEN 'cc' ELSE 'll' END AS product
@@ -39,11 +49,12 @@ collections_current AS (
     SELECT *, row_number() OVER (PARTITION BY collection__id ORDER BY date DESC) AS rn
     FROM collections_daily) WHERE rn = 1),
 customers AS (
-  SELECT c_custkey AS customer__id, 'proto_' || CAST(c_custkey % 5 AS VARCHAR) AS prototype,
+  SELECT c_custkey AS customer__id, 'proto_' || CAST((c_custkey + k) % 5 AS VARCHAR) AS prototype,
     CASE c_custkey % 20
       WHEN 0 THEN ['fraud_id', 'x'] WHEN 1 THEN ['Beta'] WHEN 2 THEN ['suspected']
       WHEN 3 THEN NULL WHEN 4 THEN ['AML'] WHEN 5 THEN ['Customer_group_owner']
-      WHEN 6 THEN [NULL, 'ok'] ELSE ['ok'] END AS customer__tags
+      WHEN 6 THEN [NULL, 'ok'] WHEN 7 THEN [{_listed(EXACT_TAGS)}]
+      WHEN 8 THEN ['x ' || {_listed(TAG_NEEDLES)} || ' y'] ELSE ['ok'] END AS customer__tags
   FROM customer JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) dup ON (k = 0 OR c_custkey % 4 = 0)
   WHERE c_custkey % 50 <> 49),
 tags_daily AS (
@@ -98,7 +109,7 @@ base AS (
 eligible AS (
   SELECT customer__id, lateness, segment, prototype
   FROM base JOIN prototypes USING (customer__id)
-  WHERE customer__id NOT IN (SELECT customer__id FROM forbidden))
+  WHERE {_not_in("forbidden")})
 """
 
 _SEGMENT_CASE = """CASE WHEN is_cc >= 1 AND is_ll >= 1 THEN 'multi_debt'
@@ -129,7 +140,7 @@ def _income(*values: str) -> str:
 
 def _capped(rows: str, columns: str) -> str:
     return f"""SELECT {columns} FROM (
-      SELECT *, row_number() OVER (PARTITION BY segment, lateness ORDER BY customer__id) AS rn
+      SELECT *, row_number() OVER (PARTITION BY segment, lateness ORDER BY customer__id NULLS FIRST) AS rn
       FROM {rows}) WHERE rn <= {_CAP_CASE}"""
 
 
@@ -148,7 +159,7 @@ def _stages(*counts: str) -> str:
     )
 
 
-_CONTACTABLE = "customer__id NOT IN (SELECT customer__id FROM forbidden)"
+_CONTACTABLE = _not_in("forbidden")
 _PERSONS = "FROM collections WHERE customer__type = 'person'"
 
 SELECTS = {
@@ -223,7 +234,7 @@ SELECTS = {
       FROM eligible JOIN income USING (customer__id)
       WHERE customer__id IN (SELECT customer__id FROM tier_roxinho)
         AND income_segments IN ('mass_market', 'super_core')""",
-    "base_tags_and_income": """WITH latest AS (
+    "base_tags_and_income": f"""WITH latest AS (
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY collection__id ORDER BY date DESC) AS rn
           FROM collections_ll) WHERE rn = 1),
@@ -235,8 +246,9 @@ SELECTS = {
       SELECT collection__id, customer__id, 1 AS is_ll, income_segments
       FROM latest LEFT JOIN known USING (customer__id)
       WHERE collection__cured = 1
-        AND customer__id NOT IN (SELECT customer__id FROM forbidden_parts)""",
+        AND {_not_in("forbidden_parts")}""",
     "base_eligibility_exact": "SELECT * FROM eligible",
+    "base_eligibility_renamed": "SELECT * FROM eligible",
     "base_homepage": f"""SELECT customer__id, prototypes.prototype
       FROM (SELECT customer__id {_PERSONS}) JOIN prototypes USING (customer__id)
       WHERE {_CONTACTABLE}""",
@@ -248,16 +260,19 @@ SELECTS = {
             FROM collections WHERE collection__end IS NULL
               AND product__days_late >= 5 AND product__days_late <= 60
             GROUP BY customer__id, prototype)""",
-    "base_pdp": """SELECT customer__id, prototype FROM collections
-      WHERE collection__end IS NULL
-        AND customer__id NOT IN (SELECT customer__id FROM forbidden_parts)""",
+    "base_pdp": f"""SELECT customer__id, prototype FROM collections
+      WHERE collection__end IS NULL AND {_not_in("forbidden_parts")}""",
+    "base_pdp_own_needles": f"""SELECT customer__id, prototype FROM collections
+      WHERE collection__end IS NULL AND {_not_in("(SELECT * FROM tagged WHERE instr(tag, 'spect') > 0 OR instr(tag, 'owner') > 0)")}""",
     "base_open_only": """SELECT customer__id, prototype FROM collections
       WHERE collection__end IS NULL""",
-    "limit_stable": "SELECT * FROM base ORDER BY customer__id LIMIT 100",
-    "limit_stable_large": "SELECT * FROM base ORDER BY customer__id LIMIT 1200",
+    "limit_rows_check": """SELECT 100 AS cap, least(count(*), 100) AS rows_kept,
+      least(count(*), 100) AS rows_of_base FROM base""",
+    "limit_stable": "SELECT * FROM base ORDER BY customer__id NULLS FIRST LIMIT 100",
+    "limit_stable_large": "SELECT * FROM base ORDER BY customer__id NULLS FIRST LIMIT 1200",
     "limit_per_combo_large": """SELECT customer__id, customer__type, date FROM (
       SELECT customer__id, customer__type, date, row_number() OVER (
-        PARTITION BY customer__type ORDER BY customer__id, date) AS rn FROM collections)
+        PARTITION BY customer__type ORDER BY customer__id NULLS FIRST, date) AS rn FROM collections)
       WHERE rn <= 1500""",
     "limit_per_combo": _capped("base", "customer__id, lateness, segment"),
     "save_roundtrip": "SELECT * FROM eligible",

@@ -19,8 +19,9 @@ from ..plans.stages import stage_counts as count_stages
 from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP, TEMPLATES
 from ..sinks import tables as sinks
 from ..sinks.shared import new_path, written
-from ..sources.collections import advanced, collections_source, latest_state, renamed
+from ..sources.collections import advanced, collections_source, latest_state
 from ..sources.fixtures import fixture_tables
+from ..sources.naming import renamed
 from ..sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,6 +362,23 @@ def base_pdp_staged(t: Tables) -> DataFrame:
     return build.base_for(t, replace(PDP, row_cap=None), staged=True)
 
 
+@query
+def base_pdp_own_needles(t: Tables) -> DataFrame:
+    return build.base_for(t, replace(PDP, row_cap=None, needles=("spect", "owner")))
+
+
+@query
+def base_eligibility_renamed(t: Tables) -> DataFrame:
+    """The flagship over a lake with other column names, mapped at load."""
+    there = {CUSTOMER: "client_id", "product__days_late": "days_overdue", TAGS: "labels"}
+    lake = Tables({name: lambda n=name: t[n].withColumnsRenamed(there) for name in t})
+    here = {name: there_name for there_name, name in there.items()}
+    daily = {c: here[c] for c in ("client_id", "days_overdue")}
+    names = {"collections_cc": daily, "collections_ll": daily}
+    names["customers"] = {c: here[c] for c in ("client_id", "labels")}
+    return build.base_for(lake.with_column_names(names), replace(ELIGIBILITY_EXACT, row_cap=None))
+
+
 @query
 def base_homepage_capped(t: Tables) -> DataFrame:
     return build.base_for(t, HOMEPAGE)
@@ -374,6 +392,22 @@ def limit_rows(t: Tables) -> DataFrame:
     return caps.any_rows(_grouped(t).select(*SEGMENT_COLUMNS), 100)
 
 
+@query
+def limit_rows_check(t: Tables) -> DataFrame:
+    """Which rows `limit_rows` keeps is open, but not how many, nor that they are the base's."""
+    base = _grouped(t).select(*SEGMENT_COLUMNS)
+    both = base.withColumn("kept", F.lit(0)).unionByName(
+        caps.any_rows(base, 100).withColumn("kept", F.lit(1))
+    )
+    kept, there = F.count_if(F.col("kept") == 1), F.count_if(F.col("kept") == 0)
+    counted = both.groupBy(*SEGMENT_COLUMNS).agg(kept.alias("kept"), there.alias("there"))
+    return counted.agg(
+        F.lit(100).alias("cap"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_kept"),
+        F.coalesce(F.sum(F.least("kept", "there")), F.lit(0)).alias("rows_of_base"),
+    )
+
+
 @query
 def limit_stable(t: Tables) -> DataFrame:
     return caps.first_rows(_grouped(t).select(*SEGMENT_COLUMNS), 100, [CUSTOMER])

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import product
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, LATENESS_VALUES, SEGMENT, SEGMENTS
 from ..operators.caps import cap_per_combo, checked_cap, combo_key
-from .shared import new_path
 
 ALLOWED = {SEGMENT: SEGMENTS, LATENESS: LATENESS_VALUES}
 SPLITS = {
@@ -81,10 +81,6 @@ def table_names(name: str, values: Mapping[str, Sequence[str]]) -> dict[tuple[st
     return {combo: combo_key(name, *combo) for combo in product(*values.values())}
 
 
-def _equals(columns: Sequence[str], combo: Sequence[str]) -> Column:
-    return reduce(and_, (F.col(c) == v for c, v in zip(columns, combo)))
-
-
 def save_split(
     df: DataFrame,
     name: str,
@@ -99,12 +95,12 @@ def save_split(
 ) -> dict[str, DataFrame]:
     """Save one table per combination; returns the saved tables by name.
 
-    The base is computed once and written to one partitioned table in the shared
-    folder. That written table ends the lineage, so losing an executor later costs
-    no more than re-reading files, and each named table reads just its own partition.
+    The base is computed and written once, partitioned by combination, to a folder of its
+    own below `folder` (or the warehouse); each named table is one of its partitions. Saving
+    a split again replaces the tables; files of the former write stay until they are cleaned.
 
-    Caps are applied to all combinations together before that table is written, so no
-    more than the caps is ever stored. They keep the first rows by `order_by`; without it,
+    Caps are applied to all combinations together before the write, so no more than the
+    caps is ever stored. They keep the first rows by `order_by`; without it,
     by the other columns.
     """
     spark = df.sparkSession
@@ -126,12 +122,18 @@ def save_split(
     rows = rows.select(*columns, *(F.col(c).alias(part) for c, part in parts.items()))
     if row_cap is not None:
         rows = cap_per_combo(rows, row_cap, caps, tuple(parts.values()), order_by)
-    path = new_path(spark, "split")
+    root = folder or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows.write.partitionBy(*parts.values()).parquet(path)
-    written = spark.read.schema(rows.schema).parquet(path)
+    # At most one row per combination.
+    held = spark.read.schema(rows.schema).parquet(path).select(*parts.values()).distinct()
+    filled = {tuple(r) for r in held.collect()}
 
-    saved = {}
+    schema, saved = rows.select(*columns).schema, {}
     for combo, table in table_names(name, values).items():
-        chosen = written.where(_equals(tuple(parts.values()), combo)).select(*columns)
-        saved[table] = save_table(chosen, table, folder)
+        place = "/".join([path, *(f"{p}={v}" for p, v in zip(parts.values(), combo))])
+        if combo not in filled:
+            spark.createDataFrame([], schema).write.parquet(place)
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        saved[table] = spark.catalog.createTable(table, place, "parquet", schema)
     return saved

@@ -1,8 +1,8 @@
-"""Collections inputs: product tagging, union, latest state, column naming."""
+"""Collections inputs: product tagging, union, latest state."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,25 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.vocabulary import COLLECTION, DATE, IS_CC, IS_LL
 
 
-def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Give physical names to the columns of `df`; names it lacks are an error."""
-    missing = [name for name in names if name not in df.columns]
-    if missing:
-        raise ValueError(f"cannot rename missing columns {missing}")
-    return df.withColumnsRenamed(dict(names))
-
-
-def latest_state(daily: DataFrame, key: str = COLLECTION, date: str = DATE) -> DataFrame:
+def latest_state(
+    daily: DataFrame, key: str = COLLECTION, date: str = DATE, ties: Sequence[str] = ()
+) -> DataFrame:
     """The newest row of every collection.
 
     `row_number() = 1` lets Spark keep one row per key inside each map task
     (WindowGroupLimit) before it shuffles. Stored by day, a task holds a collection once,
     so all history is shuffled: derive the state once, then use `advanced`.
-    A collection must occur once a day: of two rows of its newest day either may be kept.
+    A collection occurs once a day (`checks.repeated_keys` tells); where it does not, the
+    row with the greatest `ties` is kept, nulls last. Naming no ties keeps columns that
+    nobody asks for out of the scan.
     """
     if date not in daily.columns:
         raise ValueError(f"the latest state needs a {date!r} column")
-    newest_first = Window.partitionBy(key).orderBy(F.col(date).desc())
+    greatest_first = [F.col(c).desc_nulls_last() for c in ties]
+    newest_first = Window.partitionBy(key).orderBy(F.col(date).desc(), *greatest_first)
     return (
         daily.withColumn("_age", F.row_number().over(newest_first))
         .where(F.col("_age") == 1)
@@ -37,13 +34,17 @@ def latest_state(daily: DataFrame, key: str = COLLECTION, date: str = DATE) -> D
 
 
 def advanced(
-    current: DataFrame, new_days: DataFrame, key: str = COLLECTION, date: str = DATE
+    current: DataFrame,
+    new_days: DataFrame,
+    key: str = COLLECTION,
+    date: str = DATE,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """A stored latest state brought forward by the rows of later days.
 
     Costs one pass over the state and the new days, whatever the length of the history.
     """
-    return latest_state(current.unionByName(new_days), key, date)
+    return latest_state(current.unionByName(new_days), key, date, ties)
 
 
 def wanted_products(credit_card: bool, lending: bool) -> tuple[bool, bool]:

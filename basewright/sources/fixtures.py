@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import TIERS
+from ..functions.vocabulary import EXACT_TAGS, TAG_NEEDLES, TIERS
 from .collections import latest_state
 from .tables import Tables
 
@@ -32,14 +32,14 @@ def collections_daily(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     days = lineitem.select("l_orderkey", "l_linenumber").distinct()
     return days.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "o_orderkey AS collection__id",
-        "o_custkey AS customer__id",
+        "CASE WHEN o_orderkey % 101 <> 0 THEN o_custkey END AS customer__id",
         "CASE WHEN o_custkey % 10 < 8 THEN 'person' ELSE 'company' END AS customer__type",
         """CASE WHEN l_orderkey % 97 <> 0 THEN CAST((l_orderkey * 7 + l_linenumber) % 400 AS INT)
            END AS product__days_late""",
         "o_orderstatus AS collection__status",
         "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS collection__cured",
         "CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS collection__end",
-        "concat('proto_', CAST(o_custkey % 5 AS STRING)) AS prototype",
+        "concat('proto_', CAST((o_custkey + o_orderkey % 2) % 5 AS STRING)) AS prototype",
         "date_add(DATE '2026-02-28', l_linenumber) AS date",
         # On the order's own columns, so that a product filter reaches the scan of orders.
         """CASE WHEN o_custkey % 3 = 0 OR (o_custkey % 3 = 2 AND o_orderkey % 2 = 0)
@@ -47,19 +47,27 @@ def collections_daily(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def _listed(values: tuple[str, ...]) -> str:
+    """One of the values, in turn by customer, so that every entry of a list occurs."""
+    quoted = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({quoted}), CAST(floor(c_custkey / 20) % {len(values)} AS INT) + 1)"
+
+
 def customers(customer: DataFrame) -> DataFrame:
-    """One or two contracts per customer."""
+    """One or two contracts per customer, with prototypes of their own."""
     contracts = "explode(CASE WHEN c_custkey % 4 = 0 THEN array(0, 1) ELSE array(0) END)"
     return (
         customer.where("c_custkey % 50 <> 49")
         .selectExpr("c_custkey", f"{contracts} AS contract")
         .selectExpr(
             "c_custkey AS customer__id",
-            "concat('proto_', CAST(c_custkey % 5 AS STRING)) AS prototype",
-            """CASE c_custkey % 20
+            "concat('proto_', CAST((c_custkey + contract) % 5 AS STRING)) AS prototype",
+            f"""CASE c_custkey % 20
                WHEN 0 THEN array('fraud_id', 'x') WHEN 1 THEN array('Beta')
                WHEN 2 THEN array('suspected') WHEN 3 THEN NULL WHEN 4 THEN array('AML')
                WHEN 5 THEN array('Customer_group_owner') WHEN 6 THEN array(NULL, 'ok')
+               WHEN 7 THEN array({_listed(EXACT_TAGS)})
+               WHEN 8 THEN array(concat('x ', {_listed(TAG_NEEDLES)}, ' y'))
                ELSE array('ok') END AS customer__tags""",
         )
     )

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .naming import renamed
+
 
 class Tables(Mapping[str, DataFrame]):
     """A mapping from table name to DataFrame whose entries are built on first use.
@@ -26,6 +28,15 @@ class Tables(Mapping[str, DataFrame]):
     def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> Tables:
         return cls({name: lambda t=table: spark.table(t) for name, table in names.items()})
 
+    def with_column_names(self, names: Mapping[str, Mapping[str, str]]) -> Tables:
+        """These tables for a lake with other column names: per table, name there -> name here.
+
+        Columns are renamed when a table is opened; one that the table lacks is an error.
+        """
+        if unknown := sorted(set(names) - set(self)):
+            raise ValueError(f"column names are given for {unknown}, which are no tables here")
+        return Tables({t: lambda t=t: renamed(self[t], names.get(t, {})) for t in self})
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._opened:
             if name not in self._openers:

@@ -1,4 +1,5 @@
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 
@@ -29,6 +30,17 @@ def test_split_tables_are_disjoint_and_complete(base, rows, tmp_path):
         assert {f"whole_{s}_{l}" for _, l, s, _ in rows(table)} <= {name}
 
 
+def test_a_split_is_written_once_and_leaves_nothing_in_the_shared_folder(spark, base, tmp_path):
+    before = set(Path(shared.shared_folder(spark)).rglob("*.parquet"))
+    for _ in range(2):
+        saved = save_split(base, "once", "segment", COLUMNS, folder=str(tmp_path))
+    assert set(Path(shared.shared_folder(spark)).rglob("*.parquet")) == before
+    newest = {f.rsplit("/split_segment", 1)[0] for t in saved.values() for f in t.inputFiles()}
+    assert len(newest) == 1 and len(list(tmp_path.iterdir())) == 2
+    assert spark.read.parquet(*newest).count() == sum(t.count() for t in saved.values())
+    assert spark.table("once_multi_debt").count() == saved["once_multi_debt"].count() > 0
+
+
 def test_split_columns_need_not_be_kept(base, tmp_path):
     saved = save_split(
         base, "slim", "lateness", ["customer__id"], lateness=["long"], folder=str(tmp_path)

@@ -5,7 +5,8 @@ import pytest
 from basewright import Tables
 from basewright.functions.columns import lateness, product_segment
 from basewright.operators.grouping import one_row_per
-from basewright.sources.collections import collections_source, latest_state, renamed
+from basewright.sources.collections import advanced, collections_source, latest_state
+from basewright.sources.naming import renamed
 
 D1, D2 = dt.date(2026, 3, 1), dt.date(2026, 3, 2)
 
@@ -62,6 +63,27 @@ def test_renaming(spark):
         renamed(df, {"zz": "x"})
 
 
+def test_ties_of_the_newest_day_do_not_depend_on_the_rows_order(spark, rows):
+    data = [(1, D2, 5, "a"), (1, D2, 5, "b"), (1, D2, None, "z"), (1, D1, 9, "y"), (2, D1, 1, "x")]
+    schema = "collection__id int, date date, late int, x string"
+    for some in (data, data[::-1]):
+        df = spark.createDataFrame(some, schema)
+        newest = rows(latest_state(df, ties=["late", "x"]))
+        assert newest == [(1, D2, 5, "b"), (2, D1, 1, "x")]
+        stored = latest_state(df.where(df.date == D1))
+        assert rows(advanced(stored, df.where(df.date == D2), ties=["late", "x"])) == newest
+
+
+def test_column_names_are_mapped_at_load(spark):
+    lake = Tables({"t": lambda: spark.createDataFrame([(1, 2)], "a int, b int"), "u": lambda: spark.range(1)})
+    named = lake.with_column_names({"t": {"a": "customer__id"}})
+    assert named["t"].columns == ["customer__id", "b"] and named["u"].columns == ["id"]
+    with pytest.raises(ValueError, match="zz"):
+        lake.with_column_names({"t": {"zz": "x"}})["t"]
+    with pytest.raises(ValueError, match="other"):
+        lake.with_column_names({"other": {}})
+
+
 def test_unknown_table(tables):
     with pytest.raises(KeyError, match="customers"):
         tables["customers"]
