@@ -5,23 +5,23 @@ grouped counts over all training documents and written partitioned:
 
 - unigrams: every word, with its Good-Turing discounted probability; what the discounts
   take goes to unknown words as one event,
-- bigrams: every pair of *common* words (a start of text before the first). A word is
-  common if its share of the training tokens is at least 1 in `common`; there are never
-  more than `common` of them, and no rarer word is a hot key.
+- bigrams: every adjacent pair of words (a start of text before the first), however rare.
 
 A token's probability is looked up recursively: that of the bigram if it has been seen,
 
     P(b | a) = d(n) * n / c(a),     else     alpha(a) * P(b),
 
 where alpha(a) is what the seen bigrams of a leave, divided by the unigram probability
-of all words not seen after it, so that P(. | a) sums to exactly 1. A context without
-bigrams has alpha 1. Bigrams with a rarer word are pruned, as entries seen too few times
-for a better estimate than the backed-off one; the exact alpha accounts for that.
+of all words not seen after it, so that P(. | a) sums to exactly 1. A context never seen
+has alpha 1.
 
-Evaluation: what concerns common words and common pairs alone (at most `common` each) is
-computed where the text is read, from broadcast arrays of that bound. All other words and
-pairs of a text go to the tables by joins on their keys, none of which is hot, and come
-back as one sum per text.
+The most frequent words (at most `coded`) have small codes, all others a hash of 63 bits.
+
+Evaluation: what concerns coded words and hot pairs alone is computed where the text is
+read, from broadcast arrays of a fixed bound. All other words and pairs of a text go to the
+tables by one join on their keys, and come back as one sum per text. A seen pair needs
+only its count and c(a) there; the pairs that aren't found, of held-out texts only, go on
+to the words' table for alpha(a) and P(b).
 
 Defined results: a null or empty text is an end alone. Documents with a null id are
 trained on. Repeated rows count and are scored each. An empty table gives an empty result;
@@ -44,7 +44,7 @@ from ..operators.skew import with_own_shuffle
 from ..sinks.shared import written
 from .frames import map_batches
 
-#: A word (or pair) is common from one in so many tokens on.
+#: A pair is hot from one in so many tokens on; so many words have codes, all hot ones among them.
 COMMON = 20_000
 #: Counts up to this are discounted (Katz).
 LARGE = 5
@@ -120,14 +120,15 @@ def _counts_of_counts(table: DataFrame) -> tuple[dict[int, int], int, int]:
 
 @dataclass
 class Common:
-    """Arrays of at most `common` entries each; all a task needs for common words and pairs."""
+    """Arrays of a fixed bound; all a task needs for coded words and hot pairs."""
 
-    keys: object  # of common words, sorted; the place in it is a word's code
+    keys: object  # of coded words, sorted; the place in it is a word's code
     log_p: object  # log10 P(word)
     count: object
     log_alpha: object  # per context: the words, then the start of text
-    pairs: object  # codes of common pairs, sorted
-    pair_delta: object  # log10 of P(b | a) over alpha(a) P(b)
+    log_share: object  # likewise: log10 of what one undiscounted occurrence of a seen pair has
+    pairs: object  # hot pairs (first code times width plus second), sorted
+    log_n: object  # log10 of their discounted counts
     n_tokens: int  # training tokens
     n_words: int  # distinct
     unknown: float  # log10 probability of an unknown word
@@ -138,7 +139,7 @@ class Common:
 
 
 class Coder:
-    """Codes of words: the place of a common one, else its key (negative)."""
+    """Codes of words: the place of a coded one, else its key (negative)."""
 
     def __init__(self, keys):
         self.place = {int(k): i for i, k in enumerate(keys)}
@@ -158,17 +159,27 @@ class Coder:
         return found
 
 
-def _pairs(codes, width: int):
-    """Codes of the pairs of common words along a text; the start of text comes first."""
+def _grouped(first, second):
+    """The distinct pairs of two arrays, and how often each is there."""
+    import numpy as np
+
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    at = np.flatnonzero(new)
+    return first[at], second[at], np.diff(at, append=len(order))
+
+
+def _before(codes, width: int):
+    """The word before each along a text; the start of text comes first."""
     import numpy as np
 
-    before = np.concatenate(([width - 1], codes[:-1]))
-    both = (before >= 0) & (codes >= 0)
-    return before, before[both] * width + codes[both]
+    return np.concatenate(([width - 1], codes[:-1]))
 
 
 def pair_counts(training: DataFrame, keys) -> DataFrame:
-    """`pair` and `n` of every pair of common words in the training texts."""
+    """Codes `a` and `b`, and `n` of every pair of adjacent words in the training texts."""
     shared, width = training.sparkSession.sparkContext.broadcast(keys), len(keys) + 1
 
     def run(batches: Iterator) -> Iterator:
@@ -177,17 +188,24 @@ def pair_counts(training: DataFrame, keys) -> DataFrame:
 
         coder = Coder(shared.value)
         for batch in batches:
-            found = [_pairs(coder.codes([*tokens(t), END]), width)[1] for t in batch.column(0).to_pylist()]
-            pairs, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+            codes = [coder.codes([*tokens(t), END]) for t in batch.column(0).to_pylist()]
+            none = [np.zeros(0, np.int64)]
+            found = _grouped(np.concatenate([_before(c, width) for c in codes] or none), np.concatenate(codes or none))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "n"])
+
+    return map_batches(training.select("text"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    return map_batches(training.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+def _pair_key(width: int) -> Column:
+    """A key of the pair of codes `a`, `b`: their place in a table of coded words, else a hash, even and negative."""
+    hashed = F.xxhash64("a", "b").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(-(1 << 63)))
+    return F.when((F.col("a") >= 0) & (F.col("b") >= 0), F.col("a") * width + F.col("b")).otherwise(hashed)
 
 
 class Katz:
-    """A trained model: the two tables and the arrays for common words."""
+    """A trained model: the two tables and the arrays for coded words and hot pairs."""
 
-    def __init__(self, training: DataFrame, common: int = COMMON):
+    def __init__(self, training: DataFrame, common: int = COMMON, coded: int = COMMON):
         """`training` has a column `text`."""
         import numpy as np
 
@@ -202,50 +220,81 @@ class Katz:
         log_p = F.log10(_discounted(F.col("n"), discounts) / whole)
         #: key, n, and log10 of the probability over that of an unknown word.
         self.unigrams = words.select("key", "n", log_p.alias("log_p"))
-        often = self.unigrams.where(F.col("n") * common >= total).orderBy("key").toPandas()
-        keys, count = often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
-        width = len(keys) + 1
-        pairs = written(pair_counts(training, keys), "pairs")
-        pair_discounts = good_turing(_counts_of_counts(pairs)[0])
-        starts = training.count()
-        # At most `common` + 1 contexts.
-        context = spark.createDataFrame(
-            [(i, float(c), float(10**p)) for i, (c, p) in enumerate(zip(count.tolist(), often["log_p"].tolist(), strict=True))]
-            + [(width - 1, float(starts), 0.0)],
-            "code int, c double, p double",
-        )
-        split = pairs.withColumns({"a": F.floor(F.col("pair") / width).cast("int"), "b": (F.col("pair") % width).cast("int")})
-        first, second = context.select(F.col("code").alias("a"), F.col("c")), context.select(F.col("code").alias("b"), "p")
-        seen = split.join(first, "a").join(second, "b").withColumn("share", _discounted(F.col("n"), pair_discounts) / F.col("c"))
-        sums = seen.groupBy("a", "c").agg(F.sum("share").alias("seen"), F.sum("p").alias("low"))
-        # Something is always left for what hasn't been seen: at least one occurrence's worth.
-        most = F.col("c") / (F.col("c") + 1)
-        scale = F.least(F.lit(1.0), most / F.col("seen"))
-        sums = sums.select("a", scale.alias("scale"), F.log10((1 - scale * F.col("seen")) / (1 - F.col("low"))).alias("log_alpha"))
-        contexts = sums.toPandas()
-        log_alpha = np.zeros(width)
-        log_alpha[contexts["a"].to_numpy(np.int64)] = contexts["log_alpha"].to_numpy(float)
-        small = spark.createDataFrame(contexts) if len(contexts) else sums
-        delta = F.log10(F.col("scale") * F.col("share")) - F.col("log_alpha") - F.log10("p")
-        #: pair, n, and log10 of its probability over the backed-off one.
-        self.bigrams = written(seen.join(small, "a").select("pair", "n", delta.alias("delta")), "bigrams")
-        hot = self.bigrams.where(F.col("n") * common >= total).orderBy("pair").toPandas()
+        often = self.unigrams.orderBy(F.desc("n"), "key").limit(coded).toPandas().sort_values("key")
+        keys, count, often_p = (often[c].to_numpy(t) for c, t in (("key", np.int64), ("n", np.int64), ("log_p", float)))
+        width, starts = len(keys) + 1, training.count()
+        self.pairs = written(pair_counts(training, keys), "pairs")
+        self.discounts = good_turing(_counts_of_counts(self.pairs)[0])
+        codes = spark.createDataFrame([(k, i) for i, k in enumerate(keys.tolist())], "key long, code long")
+        # The start of text is a context, but no word.
+        start = spark.createDataFrame([(width - 1, starts)], "code long, n long").withColumn("log_p", F.lit(None).cast("double"))
+        known = self.unigrams.join(codes, "key", "left").select(F.coalesce("code", "key").alias("code"), "n", "log_p")
+        #: code, n, log_p, and what the word does as a context: log_alpha, log_share.
+        self.words = written(self._contexts(known.unionByName(start), 10**often_p), "contexts")
+        log_alpha, log_share = np.zeros(width), np.zeros(width)
+        for r in self.words.where("code >= 0").collect():
+            log_alpha[r["code"]], log_share[r["code"]] = r["log_alpha"], r["log_share"]
+        hot = self.pairs.where(F.col("n") * common >= total).where("a >= 0 and b >= 0")
+        hot = hot.select(_pair_key(width).alias("pair"), F.log10(_discounted(F.col("n"), self.discounts)).alias("log_n")).orderBy("pair").toPandas()
         self.common = Common(
-            keys, often["log_p"].to_numpy(float), count, log_alpha, hot["pair"].to_numpy(np.int64), hot["delta"].to_numpy(float),
+            keys, often_p, count, log_alpha, log_share, hot["pair"].to_numpy(np.int64), hot["log_n"].to_numpy(float),
             total, distinct, math.log10(unknown),
         )
 
+    def _contexts(self, known: DataFrame, coded_p) -> DataFrame:
+        """`known` (code, n, log_p) with log_alpha and log_share; both 0 for a word that nothing follows."""
+        shared = known.sparkSession.sparkContext.broadcast(coded_p)
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shared.value[batch.column(1).to_numpy()])], names=["a", "n", "p"])
+
+        # What follows is a coded word for a large part of the pairs: no join for these.
+        usual = map_batches(self.pairs.where("b >= 0"), run, "a long, n long, p double")
+        second = known.where("code < 0").select(F.col("code").alias("b"), F.pow(F.lit(10.0), "log_p").alias("p"))
+        rare = self.pairs.where("b < 0").join(second, "b").select("a", "n", "p")
+        mass = _discounted(F.col("n"), self.discounts)
+        sums = usual.unionByName(rare).groupBy("a").agg(F.sum(mass).alias("mass"), F.sum("p").alias("low")).withColumnRenamed("a", "code")
+        # Without training texts the start has been seen no times.
+        times = F.nullif(F.col("n"), F.lit(0))
+        seen = F.col("mass") / times
+        # Something is always left for what hasn't been seen: at least one occurrence's worth.
+        scale = F.when(seen.isNotNull(), F.least(F.lit(1.0), times / (times + 1) / seen))
+        alpha = F.log10((1 - scale * seen) / (1 - F.col("low")))
+        return known.join(sums, "code", "left").select(
+            "code", "n", "log_p", F.coalesce(alpha, F.lit(0.0)).alias("log_alpha"), F.coalesce(F.log10(scale / times), F.lit(0.0)).alias("log_share")
+        )
+
+    @property
+    def bigrams(self) -> DataFrame:
+        """pair, a, b, n, and log10 of its probability over the backed-off one."""
+        first = self.words.select(F.col("code").alias("a"), "log_alpha", "log_share")
+        second = self.words.where("log_p is not null").select(F.col("code").alias("b"), "log_p")
+        delta = F.log10(_discounted(F.col("n"), self.discounts)) + F.col("log_share") - F.col("log_alpha") - F.col("log_p")
+        return self.pairs.join(first, "a").join(second, "b").select(_pair_key(self.common.width).alias("pair"), "a", "b", "n", delta.alias("delta"))
+
     def _entries(self) -> DataFrame:
         """What texts look up: key, and what a hit adds to score, base score and known tokens."""
-        rarer = F.col("n") * self.share < self.common.n_tokens
-        words = self.unigrams.where(rarer).select(
-            "key", (F.col("log_p") - self.common.unknown).alias("d_score"), F.log10(F.col("n") + 1).alias("d_base"), F.lit(1).alias("known")
-        )
-        pairs = self.bigrams.where(rarer).select(
-            F.col("pair").alias("key"), F.col("delta").alias("d_score"), F.lit(0.0).alias("d_base"), F.lit(0).alias("known")
+        # A word's share is that of the pair it begins: as many as there are of the word.
+        words = self.words.where("code < 0").select(
+            F.col("code").alias("key"), F.col("log_share").alias("d_score"), F.log10(F.col("n") + 1).alias("d_base"), F.lit(1).alias("known")
         )
+        hot = (F.col("a") >= 0) & (F.col("b") >= 0) & (F.col("n") * self.share >= self.common.n_tokens)
+        log_n = F.log10(_discounted(F.col("n"), self.discounts))
+        pairs = self.pairs.where(~hot).select(_pair_key(self.common.width).alias("key"), log_n.alias("d_score"), F.lit(0.0).alias("d_base"), F.lit(0).alias("known"))
         return words.unionByName(pairs)
 
+    def _backed_off(self, texts: DataFrame) -> DataFrame:
+        """`row` and what the pairs not seen add to its score: alpha(a) P(b) each, in place of a's share."""
+        ends = F.array(*(F.struct(F.col(f"m.{c}").alias("code"), F.lit(c == "b").alias("last")) for c in "ab"))
+        missed = texts.select("row", F.explode("missed").alias("m")).select("row", "m.times", F.explode(ends).alias("e")).select("row", "times", "e.*")
+        hit = missed.join(with_own_shuffle(self.words), "code", "left")
+        first = F.coalesce(F.col("log_alpha") - F.col("log_share"), F.lit(0.0))
+        adds = F.when(F.col("last"), F.coalesce("log_p", F.lit(self.common.unknown))).otherwise(first)
+        return hit.groupBy("row").agg(F.sum(F.col("times") * adds).alias("backed_off"))
+
     def scores(self, docs: DataFrame) -> DataFrame:
         """`id`, `held_out`, `n_tokens`, `n_known`, `base_score` and `score` for rows of `id`, `text`, `held_out`."""
         shared = docs.sparkSession.sparkContext.broadcast(self.common)
@@ -257,52 +306,65 @@ class Katz:
             m = shared.value
             coder, width, row = Coder(m.keys), m.width, TaskContext.get().partitionId() << 40
             base_of_none = -math.log10(m.n_tokens + m.n_words + 1)
-            base_of, p_of = np.log10(m.count + 1.0), m.log_p
+            base_of = np.log10(m.count + 1.0)
             for batch in batches:
-                rows, keys, times, local = [], [], [], []
+                rows, keys, firsts, seconds, times, local = [], [], [], [], [], []
                 for row_id, text, held in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "held_out")), strict=True):
                     codes = coder.codes([*tokens(text), END])
-                    common, before_pairs = codes[codes >= 0], _pairs(codes, width)
-                    before, pairs = before_pairs
+                    common, before = codes[codes >= 0], _before(codes, width)
                     rare, rare_n = np.unique(codes[codes < 0], return_counts=True)
-                    pair, pair_n = np.unique(pairs, return_counts=True)
-                    score = p_of[common].sum() + m.unknown * int(rare_n.sum()) + m.log_alpha[before[before >= 0]].sum()
+                    first, second, pair_n = _grouped(before, codes)
+                    score = m.log_share[before[before >= 0]].sum()
                     if len(m.pairs):
+                        pair = np.where((first >= 0) & (second >= 0), first * width + second, -1)
                         at = np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)
                         hot = m.pairs[at] == pair
-                        score += (m.pair_delta[at[hot]] * pair_n[hot]).sum()
-                        pair, pair_n = pair[~hot], pair_n[~hot]
+                        score += (m.log_n[at[hot]] * pair_n[hot]).sum()
+                        first, second, pair_n = first[~hot], second[~hot], pair_n[~hot]
                     base = base_of[common].sum() + base_of_none * len(codes)
                     local.append((row, row_id, held, len(codes), len(common), float(base), float(score)))
-                    rows.append(np.full(len(rare) + len(pair), row, np.int64))
-                    keys += [rare, pair]
+                    rows.append(np.full(len(rare) + len(first), row, np.int64))
+                    keys += [rare, np.zeros(len(first), np.int64)]
+                    firsts += [np.zeros(len(rare), np.int64), first]
+                    seconds += [np.zeros(len(rare), np.int64), second]
                     times += [rare_n, pair_n]
                     row += 1
-                found, n = (np.concatenate(rows), len(local)) if rows else (np.zeros(0, np.int64), 0)
+                if not local:
+                    continue
+                n, found = len(local), np.concatenate(rows)
                 every = [pa.array(np.concatenate([[r[0] for r in local], found]).astype(np.int64), pa.int64())]
-                # A text's own row has a key of its own, that no table has.
+                # A text's own row has a key of its own, that no table has; a pair's key is made of its codes.
                 own = [2 * r[0] + (1 << 62) for r in local]
                 every.append(pa.array(np.concatenate([own, *keys]).astype(np.int64), pa.int64()))
+                every += [pa.array(np.concatenate([[0] * n, *x]).astype(np.int64), pa.int64()) for x in (firsts, seconds)]
                 every.append(pa.array(np.concatenate([[0] * n, *times]).astype(np.int32), pa.int32()))
+                kept = [len(x) for x in rows]
+                every.append(pa.array(np.concatenate([[False] * n, np.repeat([r[2] for r in local], kept)]).astype(bool)))
                 kind = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
                 names = [f.name for f in kind]
                 texts = [dict(zip(names, r[1:], strict=True)) for r in local]
                 every.append(pa.concat_arrays([pa.array(texts, kind), pa.nulls(len(found), kind)]))
-                yield pa.RecordBatch.from_arrays(every, names=["row", "key", "times", "own"])
+                yield pa.RecordBatch.from_arrays(every, names=["row", "key", "a", "b", "times", "open", "own"])
 
         own = "struct<id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base_score:double,score:double>"
-        asked = map_batches(docs.select(F.col("id").cast("long"), "text", "held_out"), run, f"row long, key long, times int, own {own}")
+        schema = f"row long, key long, a long, b long, times int, open boolean, own {own}"
+        asked = map_batches(docs.select(F.col("id").cast("long"), "text", "held_out"), run, schema)
+        # Every pair of a training text has been seen: its codes aren't needed any more.
+        is_pair = F.col("key") == 0
+        pair = F.when(is_pair & F.col("open"), F.struct("a", "b", "times"))
+        asked = asked.select("row", F.when(is_pair, _pair_key(self.common.width)).otherwise(F.col("key")).alias("key"), "times", pair.alias("pair"), "own")
         found = asked.join(with_own_shuffle(self._entries()), "key", "left")
         total = lambda own, hit: F.coalesce(F.sum(own), F.lit(0)) + F.coalesce(F.sum(F.col("times") * F.col(hit)), F.lit(0))
-        return (
-            found.groupBy("row")
-            .agg(
+        texts = written(
+            found.groupBy("row").agg(
                 F.max("own.id").alias("id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"),
                 total("own.n_known", "known").alias("n_known"), total("own.base_score", "d_base").alias("base_score"),
                 total("own.score", "d_score").alias("score"),
-            )
-            .drop("row")
+                F.collect_list(F.when(F.col("d_score").isNull(), F.col("pair"))).alias("missed"),
+            ), "texts",
         )
+        score = F.col("score") + F.coalesce("backed_off", F.lit(0.0))
+        return texts.join(self._backed_off(texts), "row", "left").withColumn("score", score).drop("row", "missed", "backed_off")
 
 
 def held_out(row: Column, folds: int = 7, fold: int = 2) -> Column:

@@ -302,6 +302,48 @@ def bigram_sums(model):
     return found
 
 
+def katz_of(train, docs):
+    """Scores by a model of every adjacent pair, in plain Python."""
+    words, pairs, starts = Counter(), Counter(), len(train)
+    for text in train:
+        t = [*katz.tokens(text), katz.END]
+        words.update(t)
+        pairs.update(zip([None, *t], t))
+    small = lambda c: katz.good_turing(Counter(n for n in c.values() if n <= katz.LARGE + 1))
+    taken = lambda n, d: n * (d[n - 1] if n <= katz.LARGE else 1.0)
+    of_words, of_pairs = small(words), small(pairs)
+    p = {w: taken(n, of_words) / words.total() for w, n in words.items()}
+    unknown, after = 1 - sum(p.values()), defaultdict(dict)
+    for (a, b), n in pairs.items():
+        after[a][b] = taken(n, of_pairs) / (words[a] if a else starts)
+    for a, seen in after.items():
+        c, all_ = words[a] if a else starts, sum(seen.values())
+        scale = min(1.0, c / (c + 1) / all_)
+        after[a] = {b: x * scale for b, x in seen.items()}, (1 - scale * all_) / (1 - sum(p[b] for b in seen))
+    found = []
+    for text in docs:
+        t, score = [*katz.tokens(text), katz.END], 0.0
+        for a, b in zip([None, *t], t):
+            seen, alpha = after.get(a, ({}, 1.0))
+            score += math.log10(seen[b] if b in seen else alpha * p.get(b, unknown))
+        found.append(score)
+    return found
+
+
+@pytest.mark.parametrize("coded", [0, 5, 20_000])
+def test_katz_has_pairs_of_rare_words(spark, coded):
+    """Few codes stand for a large corpus: pairs with a word that has none count and are found."""
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    line = lambda: " ".join(pick.choices(words, weights=[1 / i for i in range(1, 41)], k=pick.randrange(12)))
+    train, other = [line() for _ in range(60)] + ["", "only here"], [line() for _ in range(20)] + ["new words w1 w39 w39", "", "only w1 new"]
+    docs = [(i, t, i >= len(train)) for i, t in enumerate(train + other)]
+    for common in (30, 20_000):
+        model = katz.Katz(spark.createDataFrame([(t,) for t in train], "text string"), common, coded)
+        got = {r["id"]: r["score"] for r in model.scores(spark.createDataFrame(docs, "id long, text string, held_out boolean")).collect()}
+        assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(katz_of(train, [t for _, t, _ in docs])))
+
+
 def test_quality(spark, folder):
     got = result(spark, folder, "op10_quality_rules")
     for i, text in texts(spark, folder).items():
