@@ -36,8 +36,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "random")
-#: A candidate: a whole run of these, with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: A candidate: a whole run of these, with a letter and a digit. An equals sign belongs to it only as
+#: padding at its end; one before it, or between it and what it is set to, doesn't.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Encodings, the smallest alphabet first; a candidate has the first that holds all its characters.
 ALPHABETS = {
     "hex_lower": "0123456789abcdef",

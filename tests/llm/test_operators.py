@@ -86,6 +86,15 @@ def test_random_strings_are_found_and_names_are_not(spark):
     assert sum("[SECRET]" in r["text"] for r in masked) == len(found) and all("international" in r["text"] for r in masked)
 
 
+
+@pytest.mark.parametrize("form", ["auth_key={}", "get /a?sig={}&n=1", "see {}==", "?sig={}==", "a: {}", "{}=owner"])
+def test_candidates_on_either_side_of_an_equals_sign(spark, form):
+    key = "Zx81kDq0Lm3Pw7RtYv2BnC5s"
+    at, padding = form.index("{}"), 2 * form.endswith("==")
+    spans = spark.createDataFrame([(form.format(key),)], "text string").select(secret_scan.candidates(F.col("text")).alias("s")).first()["s"]
+    assert [(s["start"], s["end"]) for s in spans] == [(at, at + len(key) + padding)]
+
+
 def test_records(spark, folder):
     ids_of, _ = library(q.WORD_VOCABULARY)
     got, start = result(spark, folder, "op2_binary_records"), 0
