@@ -14,8 +14,12 @@ evenly over 0 to 1, while names and words crowd near 0. From that, the share of
 strings above any cut follows for each class of encoding and length, because short
 strings give the tests little power: twice the count above 1/2 estimates the random
 ones. The lowest cut at which at most `MAX_FALSE_SHARE` of the strings above it are not
-random is used for the class; a class in which no cut reaches it adds nothing. Counts are
-over the distinct candidates of all documents.
+random is used for the class, 1/2 at the latest. What a class has too few strings to say
+comes from wider pools: the neighbouring lengths of its encoding, those of all encodings,
+and last a fixed expectation; each adds the weight of a few strings to the narrower one.
+Counts above a cut are taken less their standard deviation, so that no few strings speak
+against each other, and a lone key is judged by its own p-value. Counts are over the
+distinct candidates of all documents.
 
 Defined results: a null or empty text has no spans. Spans are in code points, end
 exclusive. Repeated rows and texts get the same spans, each row its own; long texts are
@@ -25,6 +29,8 @@ is added are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +57,11 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 MAX_FALSE_SHARE = 0.05
-CUTS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3)
-#: A class is measured by no fewer than this many strings that look random.
-MIN_RANDOM = 5
+CUTS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5)
+#: A pool counts as this many random strings in the next narrower one.
+POOLED = 40
+#: Expected without any data: this over the cut, in other strings above it for each random one.
+OTHERS = 0.002
 #: Lengths up to these share a class.
 LENGTH_CLASSES = (24, 32, 48, 64)
 
@@ -174,29 +182,42 @@ def _class(encoding: Column, n: Column) -> Column:
     return F.concat_ws(" ", encoding, longest)
 
 
+def lowest_cuts(counts: dict[str, list[int]]) -> dict[str, float]:
+    """The cut of every class, from the classes' strings above 1/2 and above each of `CUTS`."""
+    lengths = [*map(str, LENGTH_CLASSES), "more"]
+
+    def pool(encodings: Iterable[str], near: list[str]) -> list[int]:
+        some = [counts[f"{e} {n}"] for e in encodings for n in near if f"{e} {n}" in counts]
+        return [sum(x) for x in zip(*some, strict=True)] or [0] * (1 + len(CUTS))
+
+    found = {}
+    for e in ALPHABETS:
+        for i, n in enumerate(lengths):
+            near = lengths[max(i - 1, 0) : i + 2]
+            # Strings above each cut for each random one, from the widest pool to the class itself.
+            rate = [1 - c + OTHERS / c for c in CUTS]
+            for half, *above in (pool(ALPHABETS, near), pool([e], near), pool([e], [n])):
+                rate = [(x - x**0.5 + POOLED * r) / (2 * half + POOLED) for x, r in zip(above, rate, strict=True)]
+            fit = (c for c, r in zip(CUTS, rate, strict=True) if r * (1 - MAX_FALSE_SHARE) <= 1 - c)
+            found[f"{e} {n}"] = next(fit, CUTS[-1])
+    return found
+
+
 def cuts(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Per class of encoding and length, the p-value above which a string counts as a key.
 
-    At most one entry per class, however large the input.
+    One entry per class, however large the input.
     """
     strings = docs.select(F.explode(F.transform(candidates(F.col(text)), lambda s: s["found"])).alias("found")).distinct()
     tested = strings.select(battery(F.col("found")).alias("t")).where("t is not null")
     tested = tested.select(_class(F.col("t.encoding"), F.col("t.n")).alias("class"), "t.p")
     above = [F.count_if(F.col("p") > c).alias(f"above{i}") for i, c in enumerate(CUTS)]
-    found = {}
-    for row in tested.groupBy("class").agg(F.count_if(F.col("p") > 0.5).alias("half"), *above).collect():
-        for i, cut in enumerate(CUTS):
-            # Random strings above a cut: 2 * half * (1 - cut). What is more than that isn't random.
-            if row["half"] >= MIN_RANDOM and row[f"above{i}"] * (1 - MAX_FALSE_SHARE) <= 2 * row["half"] * (1 - cut):
-                found[row["class"]] = cut
-                break
-    return found
+    rows = tested.groupBy("class").agg(F.count_if(F.col("p") > 0.5).alias("half"), *above).collect()
+    return lowest_cuts({r["class"]: list(r[1:]) for r in rows})
 
 
 def random_spans(text: Column, base: Column, cut: dict[str, float]) -> Column:
     """Spans of the strings taken for keys that no pattern has found already."""
-    if not cut:
-        return _no_spans()
     limits = F.create_map(*(F.lit(x) for pair in sorted(cut.items()) for x in pair))
     passes = lambda t: t["p"] > F.element_at(limits, _class(t["encoding"], t["n"]))
 

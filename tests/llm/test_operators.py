@@ -95,6 +95,38 @@ def test_candidates_on_either_side_of_an_equals_sign(spark, form):
     assert [(s["start"], s["end"]) for s in spans] == [(at, at + len(key) + padding)]
 
 
+
+def found_keys(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {s["found"] for r in secret_scan.scanned(df).collect() for s in r["spans"] if s["kind"] == "random"}
+
+
+def test_lone_keys_are_judged_whatever_else_the_corpus_holds(spark):
+    """One key copied to many documents is one distinct string; a key of a class full of slugs is no slug."""
+    pick = random.Random(6)
+
+    def of_middling_p(alphabet, n):
+        drawn = ["".join(pick.choices(alphabet, k=n)) for _ in range(30)]
+        tested = spark.createDataFrame([(x,) for x in drawn], "x string").select("x", secret_scan.battery(F.col("x"))["p"].alias("p"))
+        return min(r["x"] for r in tested.where("p > 0.2 and p < 0.5").collect())
+
+    key = of_middling_p(secret_scan.ALPHABETS["base62"], 40)
+    rare = of_middling_p(secret_scan.ALPHABETS["base32"], 56)
+    assert found_keys(spark, [f"see {key}."]) == found_keys(spark, [f"see {key}."] * 60) == {key}
+    assert found_keys(spark, [f"see {key}."] * 60 + [f"see {rare}."]) == {key, rare}
+    names = [f"internationalization_of_component_{i}_settings" for i in range(200)]
+    assert found_keys(spark, [f"see {x}." for x in [*names, key, rare]]) == {key, rare}
+
+
+def test_a_class_full_of_slugs_keeps_its_keys():
+    """Whatever fills a class, keys above 1/2 are found; a thin class goes by its neighbours."""
+    n = len(secret_scan.CUTS)
+    found = secret_scan.lowest_cuts({"base62 24": [50] + [2000] * (n - 1) + [50], "base64 64": [400] + [round(800 * (1 - c)) for c in secret_scan.CUTS]})
+    assert found["base62 24"] == 0.5 and found["base64 64"] == found["base64 48"] == secret_scan.CUTS[0]
+    assert len(found) == len(secret_scan.ALPHABETS) * (len(secret_scan.LENGTH_CLASSES) + 1)
+    assert set(secret_scan.lowest_cuts({}).values()) == {0.1}
+
+
 def test_records(spark, folder):
     ids_of, _ = library(q.WORD_VOCABULARY)
     got, start = result(spark, folder, "op2_binary_records"), 0
