@@ -254,8 +254,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near) -
     return written(linked(pairs, written(sets_of(docs, written(ends, "ends"), near), "sets"), near), "links")
 
 
-def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """`row`, `n_shingles` and `component_id` (the least id reachable by links) of every document."""
+def _components_of(docs: DataFrame, near: Near, row: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """`prefixes` of every document, and the `component` (a node) of every set (`k1`, `k2`)."""
     plain = docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text"))
     every = written(prefixes(plain, near), "prefixes")
     nodes = every.where("n > 0").groupBy("k1", "k2", "n", "prefix", "bits").agg(F.min("id").alias("id"))
@@ -267,16 +267,55 @@ def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text")
     labelled = nodes.select("node", "g", "n", "prefix").join(with_own_shuffle(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = _verified(remaining_pairs(written(labelled, "labelled"), near), nodes, plain, near)
     labels = components(links.unionByName(more))
-    final = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    return every, nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+
+
+def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text") -> DataFrame:
+    """`row`, `n_shingles` and `component_id` (the least id reachable by links) of every document."""
+    return _with_component(*_components_of(docs, near, row, text), row)
+
+
+def _with_component(every: DataFrame, final: DataFrame, row: str) -> DataFrame:
     back = every.select("id", "n", "k1", "k2").join(with_own_shuffle(final), ["k1", "k2"], "left")
     real = F.when(F.col("component") < NO_ID, F.col("component"))
     return back.select(F.col("id").alias(row), F.col("n").cast("long").alias("n_shingles"), F.coalesce(real, F.col("id")).alias("component_id"))
 
 
+def _one_without_id(docs: DataFrame, final: DataFrame, near: Near, text: str) -> DataFrame:
+    """Of `docs`, none of which has an id: one of each component without ids, and all without shingles."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t, near.words) for t in batch.column(text).to_pylist()]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
+            keys = [pa.array([len(s) for s in sets], pa.int32()), *(pa.array(digests[:, k]) for k in (0, 1))]
+            columns = [*batch.columns, *keys]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_n", "_k1", "_k2"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = written(map_batches(docs, run, schema + ", _n int, _k1 long, _k2 long"), "without-id")
+    component = final.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component").alias("_component"))
+    own = keyed.where("_n > 0").join(with_own_shuffle(component), ["_k1", "_k2"]).where(F.col("_component") >= NO_ID)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = own.groupBy("_component").agg(F.min_by(whole, F.struct("_k1", "_k2", F.col(f"`{text}`"))).alias("_first"))
+    return first.select("_first.*").unionByName(keyed.where("_n = 0").select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def one_of_each(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that link, through others or not, to one of a lesser id.
 
-    Rows that share an id stay or go together; rows without an id stay.
+    Rows that share an id stay or go together. Rows without an id go if they link to a document
+    with one; else one of each component stays, that of the least set digest and then the least
+    text (any of equal rows). Rows without an id and without words stay.
     """
-    dropped = joined(docs, near, row, text).where(F.col("component_id") != F.col(row)).select(F.col(row).alias("_dropped")).distinct()
-    return docs.join(written(dropped, "dropped"), F.col(row) == F.col("_dropped"), "left_anti")
+    every, final = _components_of(docs, near, row, text)
+    dropped = _with_component(every, final, row).where(F.col("component_id") != F.col(row)).select(F.col(row).alias("_dropped")).distinct()
+    kept = docs.join(written(dropped, "dropped"), F.col(row) == F.col("_dropped"), "left_anti")
+    nameless = docs.where(F.col(row).isNull())
+    if nameless.isEmpty():
+        return kept
+    return kept.where(F.col(row).isNotNull()).unionByName(_one_without_id(nameless, written(final, "final"), near, text))

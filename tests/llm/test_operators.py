@@ -183,6 +183,16 @@ def test_jaccard_join_of_families(spark):
         assert {r["doc_id"] for r in kept.collect()} - {None} == {c for _, c in wanted.values()}
 
 
+
+def test_one_of_each_component_without_ids_stays(spark):
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, SENTENCE), (None, SENTENCE), (None, SENTENCE + " more"), (None, other), (None, other), (None, other + " more"), (None, "alone here"), (None, None), (None, "")]
+    kept = grouped_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), grouped_join.Near(3, 90)).collect()
+    got = [(r["doc_id"], r["text"]) for r in kept]
+    assert len(got) == 5 and {(1, SENTENCE), (None, "alone here"), (None, None), (None, "")} < set(got)
+    assert sum((t or "").startswith(other) for _, t in got) == 1
+
+
 def shingles_of(text, n):
     w = (text or "").lower().split()
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
