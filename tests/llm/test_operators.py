@@ -316,6 +316,21 @@ def test_plans_place_every_piece(n):
     assert sum(t for _, t in patterns) <= -(-sum(x * k for x, k in counts.items()) // 64) * 1.12 + 1
 
 
+
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_plans_are_near_the_lower_bound(n):
+    pick = random.Random(n)
+    counts = Counter(min(1023, int(pick.lognormvariate(5, 1)) + 1) for _ in range(n))
+    patterns = packing.plan(dict(counts), 1024)
+    assert Counter(x for items, times in patterns for _ in range(times) for x in items) == counts
+    assert sum(t for _, t in patterns) <= math.ceil(-(-sum(x * k for x, k in counts.items()) // 1024) * 1.001)
+
+
+def test_alike_sequences_stay_open():
+    """As many sequences as there is space left in each: what fits there later still goes there."""
+    assert sum(t for _, t in packing.best_fit({6: 4, 3: 4, 1: 4}, 10)) == 4
+
+
 def test_katz(spark, folder):
     docs = list(texts(spark, folder).items())
     got, (wanted, total) = result(spark, folder, "op9_katz_scores"), base_scores(docs)
