@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouped_join, katz, packing, quality, records, secret_scan, speculative_bpe, trie_counts, url_filter, weighted_sampling
+from . import (
+    conversation_repair,
+    fill_in_middle,
+    grouped_join,
+    hash_tree,
+    katz,
+    packing,
+    quality,
+    records,
+    secret_scan,
+    speculative_bpe,
+    trie_counts,
+    url_filter,
+    weighted_sampling,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +100,49 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+#: 24 shards: three regions of two racks of four; the 25th opens a region of its own.
+SHARD_TREE = hash_tree.even_tree(regions=3, racks=2, shards=4)
+
+
+def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return hash_tree.sharded(docs, SHARD_TREE, hash_tree.grown(SHARD_TREE)).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack"
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by the hash of conversation and turn; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind"))
+    hurt = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), hurt.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report, edits = conversation_repair.repaired(damaged(given))
+    found = given.select("conv_id").distinct().withColumn("key", conversation_repair.key()).join(report, "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.join(conversation_repair.digests(edits), "key", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.filled_in_middle(_documents(spark, sf_dir))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +156,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_katz_scores,
         op10_quality_rules,
+        op11_hash_tree_shards,
+        op12_conversation_repair,
+        op13_fill_in_middle,
     )
 }
 
@@ -107,6 +167,14 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWERED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+def _shifted(c: int, bits: int) -> int:
+    return c if not bits else _shifted(c >> 1 ^ (0xEDB88320 if c & 1 else 0), bits - 1)
+
+
+#: CRC-32 of each byte, for SQL that has no such function.
+_CRC_TABLE = [_shifted(byte, 8) for byte in range(256)]
+
 ORACLES = {
     "op3_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
@@ -177,4 +245,49 @@ ORACLES = {
         gone AS (SELECT DISTINCT e.doc_id FROM e JOIN bad ON bad.rule = e.rule AND bad.source IS NOT DISTINCT FROM e.source WHERE broke)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM b""",
+    "op11_hash_tree_shards": r"""
+        WITH
+        d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+        b AS (SELECT doc_id, key, hex(encode(text)) AS x FROM d),
+        c AS (
+            SELECT doc_id, key, CAST(len(x) // 2 + 8 AS BIGINT) AS size,
+                xor(list_reduce(
+                    list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(x, '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                    lambda a, v: xor(a >> 8, {crc_table}[xor(a & 255, v) + 1])), 4294967295) AS text_crc32
+            FROM b),
+        tree AS (SELECT CAST(i AS INT) AS shard, CAST(i // 4 AS INT) AS rack, CAST(i // 8 AS INT) AS region FROM range(25) r(i)),
+        node(level, up, node, weight) AS (
+            SELECT 'region', -1, region, count(*) FROM tree GROUP BY region
+            UNION ALL SELECT 'rack', region, rack, count(*) FROM tree GROUP BY region, rack
+            UNION ALL SELECT 'shard', rack, shard, 1 FROM tree),
+        drawn AS (
+            SELECT key, level, up, node, -ln((CAST('0x' || substr(md5(level || ' ' || node || ':' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / weight AS draw
+            FROM (SELECT DISTINCT key FROM d) JOIN node ON true),
+        best AS (
+            SELECT key, level, up, arg_min(node, draw) AS node, arg_min(node, draw) FILTER (level <> 'region' OR node < 3) AS old
+            FROM drawn GROUP BY key, level, up),
+        put AS (
+            SELECT r.key, r.old AS region, k.old AS rack, s.old AS shard, CASE WHEN r.node = 3 THEN 24 ELSE s.old END AS grown_shard
+            FROM best r JOIN best k ON k.key = r.key AND k.level = 'rack' AND k.up = r.old
+            JOIN best s ON s.key = r.key AND s.level = 'shard' AND s.up = k.old WHERE r.level = 'region')
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard, region, rack
+        FROM c JOIN put USING (key)""".replace("{crc_table}", f"({_CRC_TABLE}::BIGINT[])"),
+    "op13_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: len(x)) AS k
+            FROM documents),
+        h AS (
+            SELECT doc_id, text, k, CAST(len(k) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(k) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(k) + 1) AS two,
+                CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+                    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        c AS (
+            SELECT *, CAST(coalesce(list_sum(k[1:least(one, two)]), 0) AS BIGINT) AS p,
+                CAST(coalesce(list_sum(k[1:greatest(one, two)]), 0) AS BIGINT) AS q FROM h),
+        t AS (SELECT *, substring(text, 1, p) AS prefix, substring(text, p + 1, q - p) AS middle, substring(text, q + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM t""",
 }
