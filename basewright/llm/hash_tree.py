@@ -126,9 +126,11 @@ def with_slots(rows: DataFrame, order_by: Sequence[str], shard: str = "shard") -
 
     Rows are dealt to ranges of (shard, order) and written, each with its place among the
     rows of its task; a shard's part of a range starts where the ranges before it end.
+    `rows` should be slim: they are written twice and shuffled once.
     """
     keys = [shard, *order_by]
-    salted = rows.withColumn("_salt", F.monotonically_increasing_id())
+    # Written first: finding the ranges samples the rows, which must not read every text once more.
+    salted = written(rows, "placed").withColumn("_salt", F.monotonically_increasing_id())
     ranged = salted.repartitionByRange(shuffle_partitions(rows), *keys, "_salt").sortWithinPartitions(*keys, "_salt")
     stored = written(ranged.drop("_salt").withColumn("_row", F.monotonically_increasing_id()), "slots")
     # The upper bits of a row's number are those of the task that wrote it.
