@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LATENESS, SEGMENT
+from ..sinks.shared import written
+from .cutoffs import cutoffs, split_at
 
 #: So many slices are merged into one in each step.
 FAN_IN = 32
@@ -33,9 +35,29 @@ def checked_cap(cap: int) -> int:
     return cap
 
 
+#: Up to this cap a plain `limit` is cheap: its last task is sent at most the cap by each other task.
+SMALL_CAP = 1000
+
+
 def any_rows(df: DataFrame, cap: int) -> DataFrame:
-    """At most `cap` rows, whichever Spark reaches first."""
-    return df.limit(checked_cap(cap))
+    """At most `cap` rows, whichever Spark reaches first.
+
+    A large cap is dealt out as quotas. Every task writes its rows up to the cap, the counts of
+    the tasks before one tell how many of its rows still fit, and each keeps that many. No task is sent
+    the rows of another.
+    """
+    if checked_cap(cap) <= SMALL_CAP:
+        return df.limit(cap)
+    row = F.monotonically_increasing_id()
+    # A row's number has its task in the upper bits and its place in the task in the other 33.
+    numbered = df.withColumn("_task", F.shiftright(row, 33)).withColumn("_place", row.bitwiseAND(2**33 - 1))
+    stored = written(numbered.where(F.col("_place") < cap), "quota")
+    # One row for each task that has rows.
+    held = stored.groupBy(F.col("_task").alias("_of")).agg(F.count(F.lit(1)).alias("_held"))
+    before = F.sum("_held").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    quotas = held.select("_of", (cap - F.coalesce(before, F.lit(0))).alias("_quota")).where("_quota > 0")
+    kept = stored.join(quotas, (F.col("_task") == F.col("_of")) & (F.col("_place") < F.col("_quota")), "leftsemi")
+    return kept.select(*df.columns)
 
 
 def _salted(df: DataFrame, slices: int) -> DataFrame:
@@ -77,14 +99,33 @@ def _total_order(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ())
     return [*order_by, *(c for c in df.columns if c not in (*order_by, *by))]
 
 
+def _is_large(df: DataFrame, cap: int) -> bool:
+    """Whether Spark would no longer cut groups to `cap` inside each task, before it shuffles."""
+    return cap > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
+def _first_by_cutoffs(df: DataFrame, cap: Column, largest: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first rows of each group for large caps: the base is written once, then counted; only last buckets are ranked."""
+    stored = written(df, "base")
+    sure, last = split_at(stored, cutoffs(stored, by, order, cap), by, order)
+    need = F.col("_need")
+    kept = _first_in_slices(last, need, largest, by, order, slices_for(df))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return sure.unionByName(ranked.where(F.col("_rank") <= need).select(*df.columns))
+
+
 def first_rows(
     df: DataFrame, cap: int, order_by: Sequence[str], slices: Sequence[int] | None = None
 ) -> DataFrame:
     """The first `cap` rows by `order_by`, other columns breaking ties.
 
-    The last step sees at most `FAN_IN * cap` rows, however many tasks read the input.
+    A small cap is taken in slices, sorted: the last step sees at most `FAN_IN * cap` rows, however many
+    tasks read the input. For a large one the place of the cut is counted out (`cutoffs`), and the base
+    is not shuffled; the result is not sorted.
     """
     order = _total_order(df, order_by)
+    if slices is None and _is_large(df, checked_cap(cap)):
+        return _first_by_cutoffs(df, F.lit(cap), cap, (), order)
     kept = _first_in_slices(df, F.lit(checked_cap(cap)), cap, (), order, slices or slices_for(df))
     return kept.orderBy(*order).limit(cap)
 
@@ -106,7 +147,7 @@ def cap_column(by: Sequence[str], caps: Mapping[str, int], default: int) -> Colu
 
 def cap_per_combo(
     df: DataFrame,
-    default: int,
+    default: int | None,
     caps: Mapping[str, int] | None = None,
     by: Sequence[str] = (SEGMENT, LATENESS),
     order_by: Sequence[str] = (),
@@ -114,13 +155,22 @@ def cap_per_combo(
 ) -> DataFrame:
     """At most so many rows of each combination, the first ones by `order_by`.
 
+    Combinations that `caps` does not name get `default`; None leaves them whole.
     Other columns break ties, so the result does not depend on how rows are spread.
-    The last ranking sees at most `FAN_IN * cap` rows of a combination, however many tasks
-    read the input.
+    Small caps are taken in slices: the last ranking sees at most `FAN_IN * cap` rows of a combination,
+    however many tasks read the input. For large ones the cuts are counted out (`cutoffs`): only the last bucket
+    of each combination is shuffled and ranked.
     """
+    if default is None:
+        if not caps:
+            raise ValueError("without a cap of their own or a default no combination is capped")
+        named = F.concat_ws("_", *by).isin(*caps)
+        return df.where(~named).unionByName(cap_per_combo(df.where(named), max(caps.values()), caps, by, order_by, slices))
     order = _total_order(df, order_by, by)
     cap = cap_column(by, caps or {}, default)
     largest = max(default, *(caps or {}).values()) if caps else default
+    if slices is None and _is_large(df, largest):
+        return _first_by_cutoffs(df, cap, largest, by, order)
     in_combo = Window.partitionBy(*by).orderBy(*order)
     return (
         _first_in_slices(df, cap, largest, by, order, slices or slices_for(df))

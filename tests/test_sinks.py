@@ -81,8 +81,6 @@ def test_senseless_splits_are_refused(base):
         split_values("country")
     with pytest.raises(ValueError):
         save_split(base.drop("segment"), "x", "segment", ["customer__id"])
-    with pytest.raises(ValueError):
-        save_split(base, "x", "segment", COLUMNS, caps={"cc_only": 5})
     with pytest.raises(ValueError):
         save_split(base, "x", "segment", COLUMNS, row_cap=5, caps={"cc_only": 0})
 
@@ -110,7 +108,6 @@ def test_saving_a_spec(spark, base, rows, tmp_path):
         ({"product_segment": False}, {"split": "segment_lateness"}),
         ({"lateness_cutoff": None}, {"split": "lateness"}),
         ({}, {"split": "segment", "segments": ()}),
-        ({"row_cap": None}, {"split": "segment", "caps": {"cc_only": 3}}),
         ({}, {"split": "segment", "segments": ("cc_only", "multidebt")}),
         ({}, {"split": "segment", "caps": {"cc_onli": 9}}),
     ],
