@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lateness, product_segment
 from ..functions.vocabulary import (
+    COLLECTION_END,
+    CURED,
     CUSTOMER,
+    CUSTOMER_TYPE,
     DAYS_LATE,
     EXACT_TAGS,
     IS_CC,
@@ -37,10 +40,17 @@ from .spec import EXACT, BaseSpec
 
 def source_rows(tables: Mapping[str, DataFrame], spec: BaseSpec) -> DataFrame:
     """The flagged collections, without columns the customers table will supply."""
-    rows = collections_source(tables, spec.credit_card, spec.lending, spec.current)
+    rows = collections_source(tables, spec.credit_card, spec.lending, spec.current, used_columns(spec))
     return rows.drop(*spec.attributes)
 
 
+def used_columns(spec: BaseSpec) -> list[str]:
+    """The columns of collections that can change a base: keys, filters, measures, output."""
+    filters = {CUSTOMER_TYPE: spec.customer_type, COLLECTION_END: spec.open_only, CURED: spec.cured_only, DAYS_LATE: spec.days_late}
+    wanted = {CUSTOMER, *spec.group_by, *measures(spec), *spec.columns, *(c for c, on in filters.items() if on)}
+    return sorted(wanted - set(spec.attributes))
+
+
 def row_filter(spec: BaseSpec) -> Column:
     """The filters of a spec as one predicate."""
     predicates = []

@@ -75,13 +75,21 @@ def checked_version(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return stored
 
 
+def _switched(spark: SparkSession, pointer: str, version: str, source: str) -> list[str]:
+    """Replace the pointer; returns the versions that nobody needs any more."""
+    before = versions_of(spark, pointer)
+    replace_view(spark, pointer, f"SELECT * FROM {source}", {VERSIONS: json.dumps([version, *before[:KEPT]])})
+    return before[KEPT:]
+
+
 def switch(spark: SparkSession, pointer: str, path: str) -> None:
     """Let `pointer` show the version in `path`: the one step in which a save takes effect."""
-    before = versions_of(spark, pointer)
-    replace_view(spark, pointer, f"SELECT * FROM parquet.{quoted_path(path)}", {VERSIONS: json.dumps([path, *before[:KEPT]])})
-    for old in before[KEPT:]:
+    escaped = path.replace("`", "``")
+    for old in _switched(spark, pointer, path, f"parquet.`{escaped}`"):
         deleted(spark, old)
 
 
-def quoted_path(path: str) -> str:
-    return f"`{path.replace('`', '``')}`"
+def switch_table(spark: SparkSession, pointer: str, table: str) -> None:
+    """The same for versions that are managed tables."""
+    for old in _switched(spark, pointer, table, quoted(table)):
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.vocabulary import COLLECTION, DATE, IS_CC, IS_LL
 
@@ -42,7 +43,8 @@ def advanced(
 ) -> DataFrame:
     """A stored latest state brought forward by the rows of later days.
 
-    Costs one pass over the state and the new days, whatever the length of the history.
+    Costs one pass over the state and the new days, whatever the length of the history. A state
+    that is stored in buckets need not even be shuffled, see `state.merged_state`.
     """
     return latest_state(current.unionByName(new_days), key, date, ties)
 
@@ -60,13 +62,27 @@ def has_current_tables(
     return f"{name}_current" in tables
 
 
+def tie_columns(daily: DataFrame, among: Sequence[str] | None = None) -> list[str]:
+    """The columns that choose between rows of a collection and day: those of `among`, or all, in order of name."""
+    fixed = {COLLECTION, DATE}
+    comparable = {f.name for f in daily.schema if not isinstance(f.dataType, MapType)} - fixed
+    return sorted(comparable if among is None else comparable & set(among))
+
+
 def product_tables(
-    tables: Mapping[str, DataFrame], credit_card: bool, lending: bool, current: bool = False
+    tables: Mapping[str, DataFrame],
+    credit_card: bool,
+    lending: bool,
+    current: bool = False,
+    ties: Sequence[str] | None = None,
 ) -> list[tuple[str, DataFrame]]:
     """(flag column, collections) for each product table that has to be read.
 
     With `current`, ready-made current tables are used where they exist; otherwise
-    the latest state is derived from the daily ones.
+    the latest state is derived from the daily ones. Of several rows of a collection on its newest day the
+    one with the greatest values is kept, column by column in order of name. `ties` names the columns
+    that count: with all that are used later, the outcome is as definite as with all there are, and
+    the others need not be read.
     """
     want_cc, want_ll = wanted_products(credit_card, lending)
     wanted = [(IS_CC, "collections_cc")] * want_cc + [(IS_LL, "collections_ll")] * want_ll
@@ -77,7 +93,7 @@ def product_tables(
         elif f"{name}_current" in tables:
             found.append((flag, tables[f"{name}_current"]))
         else:
-            found.append((flag, latest_state(tables[name])))
+            found.append((flag, latest_state(tables[name], ties=tie_columns(tables[name], ties))))
     return found
 
 
@@ -86,13 +102,14 @@ def collections_source(
     credit_card: bool = False,
     lending: bool = False,
     current: bool = False,
+    ties: Sequence[str] | None = None,
 ) -> DataFrame:
     """Collections of the wanted products, each row flagged with its product.
 
     One product carries only its own flag column. Two products are united by
     name (columns only one of them has become null) and carry both flags.
     """
-    found = product_tables(tables, credit_card, lending, current)
+    found = product_tables(tables, credit_card, lending, current, ties)
     if len(found) == 1:
         [(flag, rows)] = found
         return rows.withColumn(flag, F.lit(1))
