@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import alternation
 from .vocabulary import DAYS_LATE, IS_CC, IS_LL
 
 
@@ -42,6 +43,10 @@ def lowered(tags: str | Column) -> Column:
     return F.transform(tags, F.lower)
 
 
+#: Up to so many needles a test each is fastest; more become one pattern.
+FEW_NEEDLES = 64
+
+
 def live_needles(needles: Sequence[str], fold: bool = False) -> list[str]:
     """The fewest needles that flag the same lowercased tags.
 
@@ -57,8 +62,13 @@ def live_needles(needles: Sequence[str], fold: bool = False) -> list[str]:
 def any_tag_contains(tags: str | Column, needles: Sequence[str], fold: bool = False) -> Column:
     """True when a tag, lowercased, contains one of the needles.
 
-    Null (not True) for a null array, or when only null tags could have matched.
+    Null (not True) for a null array, or when only null tags could have matched. Any number of
+    needles makes a plan of bounded size.
     """
+    if len(needles) > FEW_NEEDLES:
+        # Needles with capitals never match; what one pattern implies is left out there.
+        pattern = alternation(n for n in (n.lower() if fold else n for n in needles) if n == n.lower())
+        return F.lit(False) if pattern is None else F.exists(lowered(tags), lambda tag: tag.rlike(pattern))
     kept = live_needles(needles, fold)
     if not kept:
         return F.lit(False)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import any_tag_contains
 from ..functions.vocabulary import CUSTOMER, EXACT_TAGS, TAG_NEEDLES, TAGS
-from .skew import joinable
+from .skew import joinable, with_own_shuffle
+
+#: Longer lists of tags are joined instead of being part of the plan.
+FEW_TAGS = 500
 
 
 def exploded_tags(customers: DataFrame, key: str = CUSTOMER) -> DataFrame:
@@ -18,14 +21,23 @@ def exploded_tags(customers: DataFrame, key: str = CUSTOMER) -> DataFrame:
 
 
 def forbidden_by_exact_tag(
-    customers: DataFrame, forbidden: Sequence[str] = EXACT_TAGS, key: str = CUSTOMER
+    customers: DataFrame, forbidden: Sequence[str] | DataFrame = EXACT_TAGS, key: str = CUSTOMER
 ) -> DataFrame:
     """Keys carrying at least one of the listed tags, each once.
 
     Tags are filtered as they are exploded, within one generated stage; only the
-    keys of matching tags are shuffled.
+    keys of matching tags are shuffled. A list of any size can be a table whose first column holds the tags: it is
+    joined, and how is left to Spark. Long sequences become such a table.
     """
-    hits = exploded_tags(customers, key).where(F.col("tag").isin(*forbidden))
+    tags = exploded_tags(customers, key)
+    if not isinstance(forbidden, DataFrame) and len(forbidden) > FEW_TAGS:
+        forbidden = customers.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(forbidden)], "tag string")
+    if isinstance(forbidden, DataFrame):
+        listed = forbidden.select(F.col(forbidden.columns[0]).alias("tag")).distinct()
+        # Tags that very many customers carry are split over tasks by Spark's skew handling.
+        hits = tags.join(with_own_shuffle(listed), "tag", "leftsemi")
+    else:
+        hits = tags.where(F.col("tag").isin(*forbidden))
     return hits.select(key).distinct()
 
 

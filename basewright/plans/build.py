@@ -31,6 +31,8 @@ from ..operators.lookups import (
     recent_income,
     with_lookups,
 )
+from ..operators.partials import Partials
+from ..operators.prefilter import is_broadcast, without_keys
 from ..operators.skew import as_it_is, with_own_shuffle
 from ..operators.tags import forbidden_by_exact_tag, forbidden_by_substring
 from ..sinks.shared import written
@@ -67,6 +69,10 @@ def row_filter(spec: BaseSpec) -> Column:
     return all_of(predicates)
 
 
+def filtered_rows(tables: Mapping[str, DataFrame], spec: BaseSpec) -> DataFrame:
+    return source_rows(tables, spec).where(row_filter(spec))
+
+
 def measures(spec: BaseSpec) -> list[str]:
     """Columns worth keeping when rows are collapsed: wanted flags, days late if used."""
     uses_days_late = spec.days_late is not None or spec.lateness_cutoff is not None
@@ -84,7 +90,7 @@ def labelled(rows: DataFrame, spec: BaseSpec) -> DataFrame:
 
 def build_base(tables: Mapping[str, DataFrame], spec: BaseSpec) -> DataFrame:
     """The base that all outputs of a spec share, before any lookup."""
-    rows = source_rows(tables, spec).where(row_filter(spec))
+    rows = filtered_rows(tables, spec)
     if spec.group_by:
         rows = one_row_per(rows, spec.group_by, measures(spec))
     return labelled(rows, spec)
@@ -94,7 +100,8 @@ def forbidden_customers(tables: Mapping[str, DataFrame], spec: BaseSpec) -> Data
     if spec.tag_rule is None:
         return None
     if spec.tag_rule == EXACT:
-        return forbidden_by_exact_tag(tables["customers"], spec.forbidden_tags or EXACT_TAGS)
+        listed = tables[spec.tag_list] if spec.tag_list else spec.forbidden_tags or EXACT_TAGS
+        return forbidden_by_exact_tag(tables["customers"], listed)
     return forbidden_by_substring(
         tables["tags_daily"], spec.needles or TAG_NEEDLES, spec.fold_needles
     )
@@ -124,22 +131,42 @@ def project(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*columns)
 
 
+def partials_of(tables: Mapping[str, DataFrame], spec: BaseSpec, path: str) -> Partials:
+    """The store of a grouped spec's partial results. It holds for this spec: its filters are applied before a day is added.
+
+    `partials.add(filtered_rows(tables, spec))`, with tables that hold some days, adds these days.
+    """
+    if not spec.group_by or spec.current or spec.snapshot_date:
+        raise ValueError("partial results are kept for a grouped base over all days")
+    rows = filtered_rows(tables, spec)
+    return Partials(rows.sparkSession, path, spec.group_by, measures(spec), rows)
+
+
 def enriched_base(
-    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None
+    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None, partials: Partials | None = None
 ) -> DataFrame:
     """The base after all lookups, with every column and without a cap.
 
     `staged`, the rule for a base without grouping, writes the combined lookup to the shared folder first. Its size is then
     known before the base is touched, so a small one is broadcast and a base without
-    grouping, the largest input there is, need not be shuffled at all.
+    grouping, the largest input there is, need not be shuffled at all. Forbidden customers that are too many for that, with
+    nothing else to look up, are removed through a filter over their keys (`prefilter`). With `partials` the
+    grouping is read from stored results instead of the collections.
     """
-    if not spec.group_by if staged is None else staged:
+    stages = not spec.group_by if staged is None else staged
+    if stages:
         prepare = partial(written, purpose="lookup")
     elif spec.group_by == (CUSTOMER,):
         prepare = as_it_is
     else:
         prepare = with_own_shuffle
-    rows = with_lookups(build_base(tables, spec), prepare=prepare, **lookups(tables, spec))
+    base = build_base(tables, spec) if partials is None else labelled(partials.total(), spec)
+    wanted = lookups(tables, spec)
+    if stages and [name for name, lookup in wanted.items() if lookup is not None] == ["forbidden"]:
+        flagged = written(wanted["forbidden"], "lookup")
+        rows = base.join(flagged, CUSTOMER, "leftanti") if is_broadcast(flagged) else without_keys(base, flagged, CUSTOMER)
+    else:
+        rows = with_lookups(base, prepare=prepare, **wanted)
     return rows if spec.segment is None else rows.where(F.col(SEGMENT) == spec.segment)
 
 
@@ -149,7 +176,7 @@ def finish_base(rows: DataFrame, spec: BaseSpec) -> DataFrame:
 
 
 def base_for(
-    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None
+    tables: Mapping[str, DataFrame], spec: BaseSpec, staged: bool | None = None, partials: Partials | None = None
 ) -> DataFrame:
     """The whole base a spec describes."""
-    return finish_base(enriched_base(tables, spec, staged), spec)
+    return finish_base(enriched_base(tables, spec, staged, partials), spec)

@@ -32,7 +32,7 @@ class BaseSpec:
     output     segment keeps one segment; columns shape the result. No row is dropped
                unless row_cap asks for it.
     tag lists  forbidden_tags (exact rule) and needles (substring rule) replace the
-               built-in ones.
+               built-in ones; tag_list names a table of tags for the exact rule.
     """
 
     credit_card: bool = False
@@ -56,6 +56,7 @@ class BaseSpec:
     row_cap: int | None = None
     forbidden_tags: tuple[str, ...] | None = None
     needles: tuple[str, ...] | None = None
+    tag_list: str | None = None
 
     def __post_init__(self) -> None:
         if self.snapshot_date is not None:
@@ -81,6 +82,8 @@ class BaseSpec:
             raise ValueError(f"tag rule {self.tag_rule!r} is neither exact nor substring")
         if self.forbidden_tags is not None and self.tag_rule != EXACT:
             raise ValueError("forbidden_tags belong to the exact tag rule")
+        if self.tag_list is not None and (self.tag_rule != EXACT or self.forbidden_tags is not None):
+            raise ValueError("tag_list belongs to the exact tag rule and excludes forbidden_tags")
         if self.needles is not None and self.tag_rule != SUBSTRING:
             raise ValueError("needles belong to the substring tag rule")
         if self.income:

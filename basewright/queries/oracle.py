@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.vocabulary import EXACT_TAGS, TAG_NEEDLES
-from .registry import CAPS, DEFAULT_CAP
+from .registry import CAPS, DEFAULT_CAP, MANY_NEEDLE_LETTERS
 
 
 def _quoted(values) -> str:
@@ -167,6 +167,7 @@ SELECTS = {
     "scan_ll_daily": "SELECT * FROM collections_ll",
     "current_snapshot": "SELECT * FROM collections_current",
     "current_snapshot_advanced": "SELECT * FROM collections_current",
+    "current_snapshot_bucketed": "SELECT * FROM collections_current",
     "customer_tags_scan": """SELECT customer__id, prototype,
       array_to_string([coalesce(x, '<null>') FOR x IN customer__tags], '|') AS tags
       FROM customers""",
@@ -214,6 +215,13 @@ SELECTS = {
     "forbidden_substring": "SELECT * FROM forbidden_parts",
     "forbidden_substring_folded": f"""SELECT DISTINCT customer__id FROM tagged
       WHERE {_any_needle("tag", fold=True)}""",
+    "forbidden_exact_listed": """SELECT DISTINCT customer__id
+      FROM (SELECT customer__id, unnest(customer__tags) AS tag FROM customers) WHERE contains(tag, '_')""",
+    "forbidden_substring_many": f"""WITH letters AS (
+        SELECT unnest(string_split('{' '.join(MANY_NEEDLE_LETTERS)}', ' ')) AS x),
+      needles AS (SELECT a.x || b.x || c.x AS needle FROM letters a, letters b, letters c)
+      SELECT DISTINCT customer__id FROM tagged
+      WHERE tag IN (SELECT t.tag FROM (SELECT DISTINCT tag FROM tagged) t JOIN needles ON contains(t.tag, needle))""",
     "anti_forbidden": f"SELECT * FROM base WHERE {_CONTACTABLE}",
     "dedup_customers": "SELECT * FROM prototypes",
     "enrich_inner": "SELECT * FROM base JOIN prototypes USING (customer__id)",
@@ -274,8 +282,19 @@ SELECTS = {
       SELECT customer__id, customer__type, date, row_number() OVER (
         PARTITION BY customer__type ORDER BY customer__id NULLS FIRST, date) AS rn FROM collections)
       WHERE rn <= 1500""",
+    "limit_stable_whole": """SELECT date, customer__id, collection__id, product__days_late FROM collections
+      ORDER BY date, customer__id NULLS FIRST, collection__id, product__days_late NULLS FIRST LIMIT 3000""",
+    "limit_per_combo_named": """SELECT customer__id, customer__type, date, collection__id FROM (
+      SELECT *, row_number() OVER (PARTITION BY customer__type
+        ORDER BY date, customer__id NULLS FIRST, collection__id) AS rn FROM collections)
+      WHERE rn <= 1100 OR customer__type <> 'company'""",
+    "limit_rows_large_check": """SELECT 2500 AS cap, least(count(*), 2500) AS rows_kept,
+      least(count(*), 2500) AS rows_of_base FROM collections""",
     "limit_per_combo": _capped("base", "customer__id, lateness, segment"),
     "save_roundtrip": "SELECT * FROM eligible",
+    "save_replaced": "SELECT * FROM eligible WHERE lateness = 'long'",
+    "split_replaced": """SELECT *, 'replaced_' || lateness AS saved_as
+      FROM eligible WHERE lateness IN ('short', 'long')""",
     "csv_roundtrip": "SELECT * FROM eligible",
     "split_by_segment": """SELECT *, 'base_by_segment_' || segment AS saved_as FROM eligible
       WHERE segment IN ('cc_only', 'll_only', 'multi_debt')""",
@@ -337,5 +356,11 @@ def oracle_queries() -> dict[str, str]:
             return f"WITH {VIEWS.strip()},\n{select[len('WITH '):].strip()}"
         return f"WITH {VIEWS.strip()}\n{select}"
 
-    selects = {**SELECTS, "base_pdp_staged": SELECTS["base_pdp"]}
+    same = {
+        "base_pdp_staged": "base_pdp",
+        "base_pdp_prefiltered": "base_pdp",
+        "group_customer_partials": "group_customer",
+        "base_eligibility_partials": "base_eligibility_substring",
+    }
+    selects = {**SELECTS, **{name: SELECTS[other] for name, other in same.items()}}
     return {name: with_views(select) for name, select in selects.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce, wraps
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,19 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.vocabulary import COLUMN_NAMES, CUSTOMER, PROTOTYPE, TAGS
 from ..operators import caps, checks, filters, grouping, lookups, tags
+from ..operators.partials import Partials
+from ..operators.prefilter import without_keys
 from ..plans import build
 from ..plans.save import save_base
 from ..plans.spec import BaseSpec
 from ..plans.stages import stage_counts as count_stages
-from ..plans.templates import ELIGIBILITY_EXACT, HOMEPAGE, PDP, TEMPLATES
+from ..plans.templates import ELIGIBILITY_EXACT, ELIGIBILITY_SUBSTRING, HOMEPAGE, PDP, TEMPLATES
 from ..sinks import tables as sinks
 from ..sinks.shared import new_path, written
 from ..sources.collections import advanced, collections_source, latest_state
 from ..sources.fixtures import fixture_tables
 from ..sources.naming import renamed
+from ..sources.state import merged_state, store_state
 from ..sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +84,15 @@ def current_snapshot_advanced(t: Tables) -> DataFrame:
     return advanced(stored, daily.where(F.col("date") == newest))
 
 
+@query
+def current_snapshot_bucketed(t: Tables) -> DataFrame:
+    """The same with the state stored in buckets, which the newest day is merged into where it lies."""
+    daily = t["collections_daily"]
+    newest = daily.select(F.max("date")).scalar()
+    stored = store_state(latest_state(daily.where(F.col("date") < newest)), "current_in_buckets", 8)
+    return merged_state(stored, daily.where(F.col("date") == newest), 8)
+
+
 @query
 def customer_tags_scan(t: Tables) -> DataFrame:
     joined = F.array_join(TAGS, "|", "<null>")
@@ -189,6 +202,18 @@ def group_customer(t: Tables) -> DataFrame:
     return grouping.one_row_per(_union(t), [CUSTOMER], ["is_cc", "is_ll", "product__days_late"])
 
 
+@query
+def group_customer_partials(t: Tables) -> DataFrame:
+    """From maxima stored by day: all days but the newest, then the newest."""
+    measures = ["is_cc", "is_ll", "product__days_late"]
+    rows = _union(t).select(CUSTOMER, *measures, "date")
+    store = Partials(rows.sparkSession, new_path(rows.sparkSession, "partials"), [CUSTOMER], measures, rows)
+    newest = rows.select(F.max("date")).scalar()
+    store.add(rows.where(F.col("date") < newest))
+    store.add(rows.where(F.col("date") == newest))
+    return store.total()
+
+
 @query
 def group_customer_prototype(t: Tables) -> DataFrame:
     measures = ["is_cc", "is_ll", "product__days_late"]
@@ -256,6 +281,23 @@ def forbidden_substring_folded(t: Tables) -> DataFrame:
     return tags.forbidden_by_substring(t["tags_daily"], fold_needles=True)
 
 
+@query
+def forbidden_exact_listed(t: Tables) -> DataFrame:
+    """The list is a table: all tags of customers that have an underscore."""
+    listed = tags.exploded_tags(t["customers"]).where(F.contains("tag", F.lit("_"))).select("tag")
+    return tags.forbidden_by_exact_tag(t["customers"], listed)
+
+
+#: Thousands of needles from a rule: all strings of three of these letters.
+MANY_NEEDLE_LETTERS = "adefgilmnoprstuw"
+
+
+@query
+def forbidden_substring_many(t: Tables) -> DataFrame:
+    needles = ["".join(letters) for letters in product(MANY_NEEDLE_LETTERS, repeat=3)]
+    return tags.forbidden_by_substring(t["tags_daily"], needles)
+
+
 @query
 def anti_forbidden(t: Tables) -> DataFrame:
     forbidden = tags.forbidden_by_exact_tag(t["customers"])
@@ -362,6 +404,22 @@ def base_pdp_staged(t: Tables) -> DataFrame:
     return build.base_for(t, replace(PDP, row_cap=None), staged=True)
 
 
+@query
+def base_pdp_prefiltered(t: Tables) -> DataFrame:
+    """The same with a filter over the flagged keys before the exact anti-join, however few they are."""
+    flagged = written(build.forbidden_customers(t, PDP), "lookup")
+    return build.project(without_keys(build.build_base(t, PDP), flagged, CUSTOMER), PDP.columns)
+
+
+@query
+def base_eligibility_partials(t: Tables) -> DataFrame:
+    """The grouped base over all days, from partial results stored by day."""
+    spec = replace(ELIGIBILITY_SUBSTRING, row_cap=None)
+    store = build.partials_of(t, spec, new_path(t["customers"].sparkSession, "partials"))
+    store.add(build.filtered_rows(t, spec))
+    return build.base_for(t, spec, partials=store)
+
+
 @query
 def base_pdp_own_needles(t: Tables) -> DataFrame:
     return build.base_for(t, replace(PDP, row_cap=None, needles=("spect", "owner")))
@@ -430,6 +488,36 @@ def limit_per_combo_large(t: Tables) -> DataFrame:
     return caps.cap_per_combo(rows, 1500, {}, by=["customer__type"], order_by=[CUSTOMER, "date"])
 
 
+@query
+def limit_stable_whole(t: Tables) -> DataFrame:
+    """A large cap on ungrouped rows, by day and customer."""
+    rows = _union(t).select("date", CUSTOMER, "collection__id", "product__days_late")
+    return caps.first_rows(rows, 3000, ["date", CUSTOMER])
+
+
+@query
+def limit_per_combo_named(t: Tables) -> DataFrame:
+    """A cap for companies only; persons stay whole."""
+    rows = _union(t).select(CUSTOMER, "customer__type", "date", "collection__id")
+    return caps.cap_per_combo(rows, None, {"company": 1100}, by=["customer__type"], order_by=["date"])
+
+
+@query
+def limit_rows_large_check(t: Tables) -> DataFrame:
+    """Arbitrary rows under a large cap: how many, and that each is a row of the base."""
+    base = _union(t).select("collection__id", "date")
+    kept = caps.any_rows(base, 2500).withColumn("kept", F.lit(1))
+    both = base.withColumn("kept", F.lit(0)).unionByName(kept)
+    counted = both.groupBy("collection__id", "date").agg(
+        F.count_if(F.col("kept") == 1).alias("kept"), F.count_if(F.col("kept") == 0).alias("there")
+    )
+    return counted.agg(
+        F.lit(2500).alias("cap"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_kept"),
+        F.coalesce(F.sum(F.least("kept", "there")), F.lit(0)).alias("rows_of_base"),
+    )
+
+
 # --- sinks --------------------------------------------------------------------------
 
 UNCAPPED = replace(ELIGIBILITY_EXACT, row_cap=None)
@@ -441,6 +529,15 @@ def save_roundtrip(t: Tables) -> DataFrame:
     return save_base(t, UNCAPPED, "eligibility_base", folder=folder)["eligibility_base"]
 
 
+@query
+def save_replaced(t: Tables) -> DataFrame:
+    """A saved base replaced by a part of itself: read and written under one name."""
+    spark = t["customers"].sparkSession
+    folder = new_path(spark, "save")
+    saved = save_base(t, UNCAPPED, "replaced_base", folder=folder)["replaced_base"]
+    return sinks.save_table(saved.where("lateness = 'long'"), "replaced_base", folder)
+
+
 @query
 def csv_roundtrip(t: Tables) -> DataFrame:
     spark = t["customers"].sparkSession
@@ -477,6 +574,17 @@ def split_cross_capped(t: Tables) -> DataFrame:
     )
 
 
+@query
+def split_replaced(t: Tables) -> DataFrame:
+    """A capped split replaced by the whole one, all tables at once."""
+    spark = t["customers"].sparkSession
+    folder = new_path(spark, "save")
+    for row_cap in (5, None):
+        saved = save_base(t, replace(ELIGIBILITY_EXACT, row_cap=row_cap), "replaced", split="lateness", folder=folder)
+    marked = [table.withColumn("saved_as", F.lit(name)) for name, table in saved.items()]
+    return reduce(DataFrame.unionByName, marked)
+
+
 # --- checks -------------------------------------------------------------------------
 
 

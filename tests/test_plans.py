@@ -17,7 +17,7 @@ from basewright.sources.tables import Tables
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
-    name for name in QUERIES if name.startswith("split_") or name.endswith("_roundtrip")
+    name for name in QUERIES if name.startswith(("split_", "save_")) or name.endswith("_roundtrip")
 }
 
 
