@@ -38,12 +38,13 @@ DEFAULT_CAP = 60
 
 
 def query(function: Callable[..., DataFrame], name: str | None = None) -> Callable:
-    """Register a function of the fixture tables under its own name."""
+    """Register a function of the fixture tables under its own name; `on` takes any tables."""
 
     @wraps(function)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return function(fixture_tables(spark, sf_dir))
 
+    run.on = function
     QUERIES[name or function.__name__] = run
     return function
 

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _folder_for_local_runs() -> str:
-    return tempfile.mkdtemp(prefix="basewright-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`.
 
-    Where it is unset, a temporary folder stands in for it, but only with a local
-    master: on a cluster a machine's own folder is out of reach of the others.
+    Where it is unset, a folder below the warehouse stands in for it, but only with a local
+    master: on a cluster it has to be named, as a folder that all executors share.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.conf.get("spark.master", "").startswith("local"):
-        return _folder_for_local_runs()
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 

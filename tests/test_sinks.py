@@ -155,5 +155,6 @@ class Session:
 def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_folder(Session(spark_master="yarn"))
-    assert shared.shared_folder(Session(spark_master="local[2]"))
+    local = Session(spark_master="local[2]", spark_sql_warehouse_dir="/w/")
+    assert shared.shared_folder(local) == "/w/_steps"
     assert shared.shared_folder(Session(spark_checkpoint_dir="s3://b/x/")) == "s3://b/x"
