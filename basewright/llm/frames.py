@@ -24,6 +24,47 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Values that `running` goes over in one go.
+IN_ONE_GO = 64
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """`values` (an array of int) combined up to each place: running sums with `+`, running maxima with `F.greatest`.
+
+    Long arrays go in blocks, and the blocks' totals the same way, so that no array grows element by element to
+    its full length.
+    """
+    before = lambda xs: F.get(xs, F.size(xs) - 1)
+
+    def plain(xs: Column) -> Column:
+        grow = lambda acc, x: F.concat(acc, F.array(F.coalesce(combine(before(acc), x), x)))
+        return F.aggregate(xs, F.array().cast("array<int>"), grow)
+
+    def in_blocks(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / IN_ONE_GO).cast("int")), lambda b: plain(F.slice(xs, b * IN_ONE_GO + 1, IN_ONE_GO)))
+
+        def joined(parts: Column, totals: Column) -> Column:
+            shifted = lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: combine(F.get(totals, i - 1), v)))
+            return F.flatten(F.transform(parts, shifted))
+
+        return bound(blocks, lambda parts: bound(running(F.transform(parts, before), combine, levels - 1), lambda totals: joined(parts, totals)))
+
+    if levels == 1:
+        return plain(values)
+    return bound(values, lambda xs: F.when(F.size(xs) <= IN_ONE_GO, plain(xs)).otherwise(in_blocks(xs)))
+
+
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named _c0, _c1, ..., which no name of an operator's own clashes with; and old -> new names."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in names.items())), names
+
+
+def together(df: DataFrame, names: dict[str, str], **changed: Column) -> DataFrame:
+    """The columns of `apart` under their own names again; `changed` gives other values by new name."""
+    return df.select(*(changed.get(n, F.col(n)).alias(c) for c, n in names.items()))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -60,7 +101,27 @@ def _smaller(batches: Iterator) -> Iterator:
 def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """`mapInArrow`, with this package at hand where the function runs.
 
-    The function sees few rows at once, so that a task holds few texts as Python objects.
+    The function sees few rows at once, so that a task holds few texts as Python objects. What
+    workers remember beyond a task is cut down at its end.
     """
     ship_package(df.sparkSession)
-    return df.mapInArrow(lambda batches: function(_smaller(batches)), schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(_smaller(batches))
+        end_of_task()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Called when a task of this worker ends.
+_at_end: list[Callable[[], None]] = []
+
+
+def at_end_of_task(forget: Callable[[], None]) -> None:
+    """Have `forget` called at the end of this worker's tasks: a worker lives on through later stages."""
+    _at_end.append(forget)
+
+
+def end_of_task() -> None:
+    for forget in _at_end:
+        forget()

@@ -18,8 +18,11 @@ from functools import cache
 from itertools import islice
 from typing import Any
 
-#: Values kept by a worker; beyond it the older half goes. Bounds memory, not results.
-CACHED_PIECES = 700_000
+from .frames import at_end_of_task
+
+#: Values kept by a task; beyond it the older half goes. The first ones, the most common, outlive the
+#: task. Bounds memory, not results.
+CACHED_PIECES, LASTING_PIECES = 700_000, 100_000
 #: Texts looked at together.
 TEXTS_AT_ONCE = 256
 
@@ -47,6 +50,11 @@ class Pieces:
     def __init__(self, of_pieces: Callable[[list[str]], list[Any]], spaces: bool, special: Iterable[str] = ()):
         self.of_pieces, self.spaces, self.special = of_pieces, spaces, tuple(special)
         self.known: dict[str, Any] = {}
+        at_end_of_task(self.forget)
+
+    def forget(self) -> None:
+        if len(self.known) > LASTING_PIECES:
+            self.known = dict(islice(self.known.items(), LASTING_PIECES))
 
     def split(self, text: str) -> list[str]:
         if self.spaces:

@@ -34,7 +34,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bound
+from .frames import apart, bound, running, together
 
 #: Fixed patterns. The two later ones hold the least length, as their runs are maximal.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -77,16 +77,10 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(g: Column, m: Column) -> Column:
-        step = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda before, x: F.struct(before.alias("b"), x.alias("x")))
-        empty = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"))
-
-        def add(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["b"]
-            end = start + F.length(s["x"])
-            span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), s["x"].alias("found"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-        return F.aggregate(step, empty, add, lambda acc: acc["spans"])
+        ends = running(F.zip_with(F.slice(g, 1, F.size(m)), m, lambda before, x: before + F.length(x)), lambda a, b: a + b)
+        return F.zip_with(
+            ends, m, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("found"))
+        )
 
     spans = bound(gaps, lambda g: bound(found, lambda m: placed(g, m)))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(_no_spans())
@@ -216,48 +210,90 @@ def cuts(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return lowest_cuts({r["class"]: list(r[1:]) for r in rows})
 
 
-def random_spans(text: Column, base: Column, cut: dict[str, float]) -> Column:
-    """Spans of the strings taken for keys that no pattern has found already."""
+def is_key(span: Column, cut: dict[str, float]) -> Column:
+    """Whether the battery takes a candidate for a key."""
     limits = F.create_map(*(F.lit(x) for pair in sorted(cut.items()) for x in pair))
     passes = lambda t: t["p"] > F.element_at(limits, _class(t["encoding"], t["n"]))
+    return F.coalesce(bound(battery(span["found"]), passes), F.lit(False))
+
+
+def not_overlapping(spans: Column, base: Column) -> Column:
+    """The spans that no span of `base` overlaps: one pass over both in order of their starts."""
+    spot = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s.alias("span"))
+    both = F.array_sort(F.concat(F.transform(base, lambda s: spot(s, False)), F.transform(spans, lambda s: spot(s, True))))
 
-    def new(s: Column) -> Column:
-        overlap = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~overlap & F.coalesce(bound(battery(s["found"]), passes), F.lit(False))
+    def checked(at: Column) -> Column:
+        # How far the base spans reach that begin before, and where the next one begins.
+        reach = running(F.transform(at, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.greatest)
+        follow = F.reverse(running(F.reverse(F.transform(at, lambda x: F.when(x["own"], NOWHERE).otherwise(x["start"]))), F.least))
+        near = F.zip_with(reach, follow, lambda r, f: F.struct(r.alias("reach"), f.alias("follow")))
+        told = F.zip_with(at, near, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+        free = lambda t: t["x"]["own"] & (t["n"]["reach"] <= t["x"]["start"]) & (t["n"]["follow"] >= t["x"]["end"])
+        return F.transform(F.filter(told, free), lambda t: t["x"]["span"])
 
-    return F.filter(candidates(text), new)
+    return bound(both, checked)
+
+
+#: Beyond every place in a text, and characters of a text that are cut out at once when secrets are masked.
+NOWHERE, BLOCK = 2**31 - 1, 1 << 14
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `spans`: array of (start, end, kind, found) by start, then kind as in `KINDS`."""
-    kept = [c for c in docs.columns if c != "spans"]
-    cut, whole = cuts(docs, text), F.coalesce(F.col(text), F.lit(""))
+    cut = cuts(docs, text)
+    plain, names = apart(docs.drop("spans") if text != "spans" else docs)
+    whole = F.coalesce(F.col(names[text]), F.lit(""))
+    # Step by step, as columns: one expression of all would be nested too deep to be analysed.
+    found = plain.select("*", pattern_spans(whole).alias("base"), candidates(whole).alias("tried"))
+    alone = F.when(F.size("tried") == 0, F.col("tried")).otherwise(not_overlapping(F.col("tried"), F.col("base")))
+    found = found.withColumn("alone", alone).withColumn("random", F.filter("alone", lambda s: is_key(s, cut)))
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
+    ordered = F.transform(
+        F.concat("base", "random"), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s.alias("span"))
+    )
+    spans = F.transform(F.array_sort(ordered), lambda o: o["span"])
+    return found.select(*(F.col(n).alias(c) for c, n in names.items() if c != "spans"), spans.alias("spans"))
 
-    def joined(base: Column) -> Column:
-        ordered = F.transform(
-            F.concat(base, random_spans(whole, base, cut)),
-            lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s.alias("span")),
-        )
-        return F.transform(F.array_sort(ordered), lambda o: o["span"])
 
-    return docs.select(*kept, bound(pattern_spans(whole), joined).alias("spans"))
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """`text` with each span replaced by `mask`; overlapping ones by one mask.
 
+    The text is cut into blocks first, as finding a place in a text takes as long as the text before it.
+    """
 
-def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with each secret of the text replaced by `mask`; overlapping ones by one mask."""
+    def pieces(at: Column, length: Column) -> Column:
+        """What stays before each mask, as (from, to, mask); last what stays after them."""
+        kept = lambda start, end, mask: F.struct(start.alias("from"), end.alias("to"), F.lit(mask).alias("mask"))
+        starts = F.concat(F.transform(at, lambda s: kept(F.lit(0), s["start"], mask)), F.array(kept(F.lit(0), length, "")))
+        reach = F.concat(F.array(F.lit(0)), running(F.transform(at, lambda s: s["end"]), F.greatest))
+        moved = F.zip_with(starts, reach, lambda p, r: F.struct(r.alias("from"), p["to"].alias("to"), p["mask"].alias("mask")))
+        return F.filter(moved, lambda p: p["from"] <= p["to"])
+
+    def block(kept: Column, b: Column) -> Column:
+        low, high = b * BLOCK, (b + 1) * BLOCK
+
+        def written(own: Column) -> Column:
+            def one(p: Column) -> Column:
+                start = F.greatest(p["from"], low)
+                stays = F.substring(own, start - low + 1, F.greatest(F.least(p["to"], high) - start, F.lit(0)))
+                return F.concat(stays, F.when((p["to"] >= low) & (p["to"] < high), p["mask"]).otherwise(""))
+
+            return F.array_join(F.transform(F.filter(kept, lambda p: (p["to"] >= low) & (p["from"] <= high)), one), "")
 
-    def masked(spans: Column) -> Column:
-        whole = F.col(text)
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return bound(F.substring(text, low + 1, F.lit(BLOCK)), written)
 
-        def add(acc: Column, s: Column) -> Column:
-            before = F.substring(whole, acc["at"] + 1, s["start"] - acc["at"])
-            fresh = F.concat(acc["out"], before, F.lit(mask))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def whole(at: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int"))
+        return bound(pieces(at, F.length(text)), lambda kept: F.array_join(F.transform(blocks, lambda b: block(kept, b)), ""))
 
-        rest = lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole)))
-        return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(whole)
+    return bound(spans, lambda at: F.when(F.size(at) > 0, whole(at)).otherwise(text))
 
-    found = scanned(docs.withColumn("_plain", F.col(text)), "_plain")
-    return found.select(*(bound(F.col("spans"), masked).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """`docs` with each secret of the text replaced by `mask`; overlapping ones by one mask.
+
+    Other columns are as they were, whatever their names; a null text stays null.
+    """
+    plain, names = apart(docs)
+    found = scanned(plain, names[text])
+    return together(found, names, **{names[text]: masked(F.col(names[text]), F.col("spans"), mask)})

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from itertools import islice
 
-#: Words whose hash a worker remembers; beyond it the older half goes.
-CACHED_WORDS = 300_000
+from .frames import at_end_of_task
+
+#: Words whose hash a task remembers; beyond it the older half goes. The first ones, the most common, outlive the task.
+CACHED_WORDS, LASTING_WORDS = 300_000, 50_000
 #: Odd multipliers of the mixing function.
 MIX_1, MIX_2, GOLDEN = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 _known: dict[bytes, int] = {}
 
 
+@at_end_of_task
+def _forget() -> None:
+    if len(_known) > LASTING_WORDS:
+        kept = dict(islice(_known.items(), LASTING_WORDS))
+        _known.clear()
+        _known.update(kept)
+
+
 def mixed(x):
     """A one-to-one mix of each 64-bit number."""
     import numpy as np

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm import grouped_join, packing, quality, secret_scan
+from basewright.llm.frames import apart, together
 from basewright.llm.queries import BYTE_END, BYTE_VOCABULARY, SEQUENCE
 from basewright.sinks.shared import written
 
@@ -24,10 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; `n_chars` follows the text."""
-    masked = secret_scan.redacted(docs.withColumn("_before", F.length("text")))
-    changed = F.length("text") != F.col("_before")
-    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    """All documents, secrets masked; `n_chars` follows a text that changes."""
+    plain, names = apart(docs)
+    text, n_chars = names["text"], names["n_chars"]
+    masked = secret_scan.redacted(plain.withColumn("before", F.xxhash64(text)), text)
+    changed = F.xxhash64(text) != F.col("before")
+    return together(masked, names, **{n_chars: F.when(changed, F.length(text).cast("long")).otherwise(F.col(n_chars))})
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
