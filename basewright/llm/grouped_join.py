@@ -16,10 +16,13 @@ their similarity is at least the threshold. The steps:
 A group of n near copies has n^2 / 2 links, which are not written out. First each group is
 verified against one other per shingle and size class, the first there (a star). Nodes
 joined so far form components, and only nodes of different components are compared
-afterwards, all of them: every link lies inside a component of the result.
+afterwards: every link lies inside a component of the result. While comparing all of them would
+take many more pairs than there are nodes, and stars still lessen them by half, further stars are tried first, each with
+other centres; a node leaves as soon as one link ties it to the component that the others are in. In the end
+all pairs that are left are compared.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
-nothing. Rows with the same id are one document; rows with a null id link by their text and have
+nothing. Ids are any whole numbers of 64 bits. Rows with the same id are one document; rows with a null id link by their text and have
 a component only if they link to a document with an id. Empty tables give empty results.
 Extra columns are ignored.
 """
@@ -28,21 +31,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import with_own_shuffle
 from ..sinks.shared import written
-from .frames import map_batches
 from .components import components
+from .frames import apart, map_batches, together
 from .shingling import runs, word_hashes
 
 SKETCH = 1 << 16
 #: Similarities are whole hundredths, so that no rounding decides.
 OF = 100
-#: Above all real ids: nodes of documents without one.
-NO_ID = 1 << 62
+#: Above all real ids: nodes of documents without one. They take a wider type, which nodes have only if there are some.
+NO_ID = 1 << 63
+NAMED, ANY = "long", "decimal(20,0)"
+#: All pairs are few if they are not more than this, or than so many for each posting.
+FEW_PAIRS, PAIRS_PER_POSTING = 200_000, 8
 
 
 @dataclass(frozen=True)
@@ -145,11 +152,20 @@ def prefixes(docs: DataFrame, near: Near) -> DataFrame:
     return map_batches(docs.select("id", "text"), run, "id long, n int, k1 long, k2 long, prefix array<long>, bits array<long>")
 
 
-def _node(row: Column, k1: Column) -> Column:
-    return F.coalesce(row, F.lit(NO_ID) + F.shiftrightunsigned(k1, 2))
+def _no_id() -> Column:
+    return F.lit(Decimal(NO_ID)).cast(ANY)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+def _node(row: Column, k1: Column, kind: str) -> Column:
+    """The id, or for documents without one a number above all ids."""
+    return row if kind == NAMED else F.coalesce(row.cast(ANY), (_no_id() + F.shiftrightunsigned(k1, 2).cast(ANY)).cast(ANY))
+
+
+def _named(node: Column, kind: str) -> Column:
+    return F.lit(True) if kind == NAMED else node < _no_id()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, near: Near, kind: str) -> DataFrame:
     """`node` and `set` of the given nodes (a column `node`), one row each."""
 
     def run(batches: Iterator) -> Iterator:
@@ -163,10 +179,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
             values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), values], names=["id", "k1", "set"])
 
-    wanted = nodes.select(F.when(F.col("node") < NO_ID, F.col("node")).alias("id"), "node")
+    wanted = nodes.select(F.when(_named(F.col("node"), kind), F.col("node")).cast("long").alias("id"), "node")
     held = docs.join(wanted.select("id").distinct(), docs["id"].eqNullSafe(wanted["id"]), "left_semi")
     found = map_batches(held.select("id", "text"), run, "id long, k1 long, set array<long>")
-    found = found.select(_node(F.col("id"), F.col("k1")).alias("node"), "set")
+    found = found.select(_node(F.col("id"), F.col("k1"), kind).alias("node"), "set")
     return found.join(nodes.select("node"), "node", "left_semi").distinct()
 
 
@@ -208,25 +224,48 @@ def star_pairs(nodes: DataFrame, groups: DataFrame, near: Near) -> DataFrame:
     return found.unionByName(inside).distinct()
 
 
-def remaining_pairs(nodes: DataFrame, near: Near) -> DataFrame:
-    """All pairs of nodes in different components that prefix, sizes and positions leave possible.
+def open_entries(nodes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of nodes with a `component`, and their postings of shingles that several components have.
 
-    `nodes` has a column `component`. Members of one group and component are one entry
-    until the entries' pairs are known.
+    Members of one group and component are one entry.
     """
-    entry = ["g", "n", "component"]
-    entries = written(nodes.groupBy(*entry, "prefix").agg(F.min("node").alias("lead")), "entries")
-    postings = _postings(entries, "component")
-    mixed_tokens = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-    live = written(postings.join(with_own_shuffle(mixed_tokens), "token", "left_semi").select("token", "pos", "n", "lead", "component"), "postings")
+    entries = written(nodes.groupBy("g", "n", "component").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "entries")
+    postings = _postings(entries.join(with_own_shuffle(groups.select("g", "n", "prefix")), ["g", "n"]), "component", "members")
+    mixed = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
+    live = postings.join(with_own_shuffle(mixed), "token", "left_semi").select("token", "pos", "n", "lead", "component", "members")
+    return entries.drop("members"), written(live, "postings")
+
+
+def pairs_to_come(live: DataFrame) -> tuple[int, int]:
+    """How many pairs of nodes in different components meet at a shingle, and how many postings of nodes there are."""
+    per = live.groupBy("token", "component").agg(F.sum("members").cast("double").alias("c"))
+    of_token = per.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    got = of_token.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("postings")).first()
+    return int(got["pairs"] or 0), int(got["postings"] or 0)
+
+
+def another_star(live: DataFrame, near: Near, turn: int) -> DataFrame:
+    """Pairs of entries of different components, by a member each: every entry with one other per shingle and size class, drawn anew each turn."""
+    at = live.withColumn("class", _size_class(F.col("n"), near))
+    drawn = F.struct(F.xxhash64("lead", F.lit(turn)).alias("draw"), *(F.col(c).alias(f"{c}_b") for c in ("lead", "n", "pos", "component")))
+    centres = at.groupBy("token", "class").agg(F.min(drawn).alias("centre")).select("token", "class", "centre.*").drop("draw")
+    found = at.join(with_own_shuffle(centres), ["token", "class"]).where(F.col("component") != F.col("component_b"))
+    return found.where(_possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), near)).select(F.col("lead").alias("a"), F.col("lead_b").alias("b")).distinct()
+
+
+def all_pairs(live: DataFrame, near: Near) -> DataFrame:
+    """All pairs of entries of different components that prefix, sizes and positions leave possible."""
     one, other = (live.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "n", "lead", "component"))) for x in "ab")
     met = (F.col("lead_a") > F.col("lead_b")) & (F.col("component_a") != F.col("component_b"))
     possible = _possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), near)
-    pairs = one.join(other, "token").where(met & possible).select("lead_a", "lead_b").distinct()
-    leads = entries.select("g", "component", "lead")
-    members = nodes.select("g", "component", "node").join(leads, ["g", "component"]).select("lead", "node")
-    left, right = (members.select(F.col("lead").alias(f"lead_{x}"), F.col("node").alias(x)) for x in "ab")
-    return pairs.join(left, "lead_a").join(right, "lead_b").select("a", "b").distinct()
+    return one.join(other, "token").where(met & possible).select(F.col("lead_a").alias("lead"), F.col("lead_b")).distinct()
+
+
+def of_members(pairs: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pairs of entries as pairs of their members."""
+    members = nodes.select("g", "n", "component", "node").join(entries, ["g", "n", "component"]).select("lead", "node")
+    left, right = members.select("lead", F.col("node").alias("a")), members.select(F.col("lead").alias("lead_b"), F.col("node").alias("b"))
+    return pairs.join(left, "lead").join(right, "lead_b").select("a", "b").distinct()
 
 
 def _fold(bits: Column, places: Column) -> Column:
@@ -247,27 +286,36 @@ def not_too_different(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFra
     return both.where(F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= allowed).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near, kind: str) -> DataFrame:
     """The pairs that are links: first by their bits, then what passes by the whole sets."""
     pairs = written(not_too_different(pairs, nodes, near), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return written(linked(pairs, written(sets_of(docs, written(ends, "ends"), near), "sets"), near), "links")
+    return written(linked(pairs, written(sets_of(docs, written(ends, "ends"), near, kind), "sets"), near), "links")
 
 
-def _components_of(docs: DataFrame, near: Near, row: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """`prefixes` of every document, and the `component` (a node) of every set (`k1`, `k2`)."""
+def _components_of(docs: DataFrame, near: Near, row: str, text: str) -> tuple[DataFrame, DataFrame, str]:
+    """`prefixes` of every document, the `component` (a node) of every set (`k1`, `k2`), and the type of nodes."""
     plain = docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text"))
     every = written(prefixes(plain, near), "prefixes")
+    kind = NAMED if every.where("id IS NULL AND n > 0").isEmpty() else ANY
     nodes = every.where("n > 0").groupBy("k1", "k2", "n", "prefix", "bits").agg(F.min("id").alias("id"))
-    nodes = nodes.select("k1", "k2", "n", "prefix", "bits", _node(F.col("id"), F.col("k1")).alias("node"), F.xxhash64("n", "prefix").alias("g"))
+    nodes = nodes.select("k1", "k2", "n", "prefix", "bits", _node(F.col("id"), F.col("k1"), kind).alias("node"), F.xxhash64("n", "prefix").alias("g"))
     nodes = written(nodes, "nodes")
     groups = written(nodes.groupBy("g", "n", "prefix").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "groups")
-    links = _verified(star_pairs(nodes, groups, near), nodes, plain, near)
-    labels = components(links)
-    labelled = nodes.select("node", "g", "n", "prefix").join(with_own_shuffle(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = _verified(remaining_pairs(written(labelled, "labelled"), near), nodes, plain, near)
+    links = _verified(star_pairs(nodes, groups, near), nodes, plain, near, kind)
+    turn, before = 0, float("inf")
+    while True:
+        labelled = nodes.select("node", "g", "n").join(with_own_shuffle(components(links)), "node", "left")
+        labelled = written(labelled.withColumn("component", F.coalesce("component", "node")), "labelled")
+        entries, live = open_entries(labelled, groups)
+        pairs, postings = pairs_to_come(live)
+        if pairs <= max(FEW_PAIRS, PAIRS_PER_POSTING * postings) or 2 * pairs > before:
+            break
+        links = links.unionByName(_verified(another_star(live, near, turn), nodes, plain, near, kind))
+        turn, before = turn + 1, pairs
+    more = _verified(of_members(all_pairs(live, near), labelled, entries), nodes, plain, near, kind)
     labels = components(links.unionByName(more))
-    return every, nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    return every, nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component")), kind
 
 
 def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,9 +323,9 @@ def joined(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "text")
     return _with_component(*_components_of(docs, near, row, text), row)
 
 
-def _with_component(every: DataFrame, final: DataFrame, row: str) -> DataFrame:
+def _with_component(every: DataFrame, final: DataFrame, kind: str, row: str) -> DataFrame:
     back = every.select("id", "n", "k1", "k2").join(with_own_shuffle(final), ["k1", "k2"], "left")
-    real = F.when(F.col("component") < NO_ID, F.col("component"))
+    real = F.when(_named(F.col("component"), kind), F.col("component")).cast("long")
     return back.select(F.col("id").alias(row), F.col("n").cast("long").alias("n_shingles"), F.coalesce(real, F.col("id")).alias("component_id"))
 
 
@@ -299,7 +347,7 @@ def _one_without_id(docs: DataFrame, final: DataFrame, near: Near, text: str) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     keyed = written(map_batches(docs, run, schema + ", _n int, _k1 long, _k2 long"), "without-id")
     component = final.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component").alias("_component"))
-    own = keyed.where("_n > 0").join(with_own_shuffle(component), ["_k1", "_k2"]).where(F.col("_component") >= NO_ID)
+    own = keyed.where("_n > 0").join(with_own_shuffle(component), ["_k1", "_k2"]).where(F.col("_component") >= _no_id())
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     first = own.groupBy("_component").agg(F.min_by(whole, F.struct("_k1", "_k2", F.col(f"`{text}`"))).alias("_first"))
     return first.select("_first.*").unionByName(keyed.where("_n = 0").select(*(F.col(f"`{c}`") for c in docs.columns)))
@@ -312,10 +360,11 @@ def one_of_each(docs: DataFrame, near: Near, row: str = "doc_id", text: str = "t
     with one; else one of each component stays, that of the least set digest and then the least
     text (any of equal rows). Rows without an id and without words stay.
     """
-    every, final = _components_of(docs, near, row, text)
-    dropped = _with_component(every, final, row).where(F.col("component_id") != F.col(row)).select(F.col(row).alias("_dropped")).distinct()
+    docs, names = apart(docs)
+    row, text = names[row], names[text]
+    every, final, kind = _components_of(docs, near, row, text)
+    dropped = _with_component(every, final, kind, row).where(F.col("component_id") != F.col(row)).select(F.col(row).alias("_dropped")).distinct()
     kept = docs.join(written(dropped, "dropped"), F.col(row) == F.col("_dropped"), "left_anti")
-    nameless = docs.where(F.col(row).isNull())
-    if nameless.isEmpty():
-        return kept
-    return kept.where(F.col(row).isNotNull()).unionByName(_one_without_id(nameless, written(final, "final"), near, text))
+    if kind == ANY:
+        kept = kept.where(F.col(row).isNotNull()).unionByName(_one_without_id(docs.where(F.col(row).isNull()), written(final, "final"), near, text))
+    return together(kept, names)
