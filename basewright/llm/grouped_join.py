@@ -49,7 +49,7 @@ OF = 100
 NO_ID = 1 << 63
 NAMED, ANY = "long", "decimal(20,0)"
 #: All pairs are few if they are not more than this, or than so many for each posting.
-FEW_PAIRS, PAIRS_PER_POSTING = 200_000, 8
+FEW_PAIRS, PAIRS_PER_POSTING = 100_000_000, 8
 
 
 @dataclass(frozen=True)
