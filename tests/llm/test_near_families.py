@@ -60,7 +60,8 @@ def test_a_family_is_joined_without_all_its_pairs(spark, monkeypatch):
 
 
 def brute_components(docs, words, near):
-    sets = {i: {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in docs}
+    # The lone shingle of a text with fewer words is all of them; a text without words has none.
+    sets = {i: {tuple(w[k : k + words]) for k in range(max(len(w) - words, 0) + 1)} - {()} for i, w in ((i, t.split()) for i, t in docs)}
     parent = {i: i for i in sets}
 
     def top(i):
@@ -72,7 +73,7 @@ def brute_components(docs, words, near):
         for b in sets:
             if a < b:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= near * (len(sets[a]) + len(sets[b]) - both):
+                if both and 100 * both >= near * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((top(a), top(b)))
                     parent[y] = x
     return {i: top(i) for i in sets}
