@@ -9,10 +9,9 @@ unbounded-knapsack dynamic program finds the configuration of the highest price.
 fractional counts are rounded down, and the lengths left over are packed best-fit,
 longest first, still on the histogram (groups of alike sequences, not single ones).
 
-Best-fit decreasing alone is tried first, and kept where it is within `TOLERANCE` of the
-lower bound. Else the program is solved in ever smaller steps until its plan is within
+The program is solved for every histogram, in ever smaller steps until its plan is within
 `TOLERANCE` of the bound by tokens or by the program's dual prices, or steps are at `LEAST_SHARE`;
-the plan with the fewest sequences is used.
+the solution with the fewest sequences is used. Best fit places nothing but what rounding left.
 
 The plan says for the k-th piece of a length which sequence and place it gets. Pieces
 are numbered within their length without bringing a length together: each task numbers
@@ -39,7 +38,7 @@ from .pieces import id_encoder
 
 #: The share of a configuration's limit that a round of the multiplicative-weights solver adds, and
 #: the weights' step. At a share of 1 there are half as many rounds as distinct lengths, so less than the capacity.
-SHARE, LEAST_SHARE = 1.0, 0.25
+SHARE, LEAST_SHARE = 1.0, 0.5
 #: Sequences over the lower bound at which a plan is good enough.
 TOLERANCE = 0.001
 STEP = 0.7
@@ -50,22 +49,32 @@ Pattern = tuple[list[int], int]
 
 
 def best_configuration(price, capacity: int) -> list[int]:
-    """The lengths (longest first) that fit `capacity` at the highest total price; `price[l]` is -inf where l is absent."""
+    """The lengths (longest first) that fit `capacity` at the highest total price; `price[l]` is -inf where l is absent.
+
+    Where a configuration has two lengths or more, the shortest is at most half of its room: only
+    these are tried against what is best for the rest.
+    """
     import numpy as np
 
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    value, last, alone = np.zeros(capacity + 1), [0] * (capacity + 1), price.tolist()
+    before = 0.0
     for c in range(1, capacity + 1):
-        options = price[1 : c + 1] + value[c - 1 :: -1] if c > 1 else price[1:2] + value[:1]
-        best = int(options.argmax())
-        if options[best] > value[c - 1]:
-            value[c], last[c] = options[best], best + 1
-        else:
-            value[c] = value[c - 1]
+        best, length = before, 0
+        if alone[c] > best:
+            best, length = alone[c], c
+        half = c // 2
+        if half:
+            options = price[1 : half + 1] + value[c - half : c][::-1]
+            at = options.argmax()
+            if options[at] > best:
+                best, length = float(options[at]), int(at) + 1
+        value[c] = before = best
+        last[c] = length
     chosen, c = [], capacity
     while c > 0:
         if last[c]:
-            chosen.append(int(last[c]))
-            c -= int(last[c])
+            chosen.append(last[c])
+            c -= last[c]
         else:
             c -= 1
     return sorted(chosen, reverse=True)
@@ -141,15 +150,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     whole = counts.get(capacity, 0)
     parts = {x: n for x, n in counts.items() if x != capacity and n}
     fewest = -(-sum(x * n for x, n in parts.items()) // capacity)
-    best, step = best_fit(parts, capacity), SHARE
-    while _sequences(best) > fewest * (1 + TOLERANCE) and step >= LEAST_SHARE:
+    best, step = None, SHARE
+    while step >= LEAST_SHARE:
         chosen, bound = configurations(parts, capacity, step)
         left = dict(parts)
         for items, times in chosen:
             for x in items:
                 left[x] -= times
         solved = chosen + best_fit({x: n for x, n in left.items() if n}, capacity)
-        best, fewest, step = min(best, solved, key=_sequences), max(fewest, math.ceil(bound - 1e-6)), step / 2
+        fewest = max(fewest, math.ceil(bound - 1e-6))
+        if best is None or _sequences(solved) < _sequences(best):
+            best = solved
+        if _sequences(best) <= fewest * (1 + TOLERANCE):
+            break
+        step /= 2
     return ([([capacity], whole)] if whole else []) + best
 
 
