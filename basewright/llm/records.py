@@ -5,8 +5,10 @@ of those bytes (4), payload, masked CRC-32C of the payload (4); all little-endia
 payload is the document's ids, 2 bytes each where the vocabulary has up to 65,536
 entries, else 4.
 
-Each task writes one file in the shared folder, under a name of its own attempt, and
-returns one index row per record. The index is written through Spark, which keeps the
+Texts are encoded where they are read, and their ids written as a step; only ids, about two
+bytes a token, are sampled for the ranges, sent to them and sorted there. Each task then
+writes one file in the shared folder, under a name of its own attempt, and returns one
+index row per record. The index is written through Spark, which keeps the
 rows of one attempt per task: files of failed attempts are never referred to, and a
 lost executor takes nothing with it. Records are in ascending order of id (nulls first,
 equal ids by text) over the files' numbers. `read_records` fetches the records of any
@@ -126,35 +128,60 @@ def unframed(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
+def _uri(path: str) -> str:
+    """`path` by the scheme that pyarrow knows the store under."""
+    scheme, sep, rest = path.partition("://")
+    return f"s3://{rest}" if sep and scheme.lower() in ("s3a", "s3n") else path
+
+
 def _filesystem(path: str):
     """The store a path is in, and the path there; plain paths are shared mounts."""
     from pyarrow import fs
 
+    path = _uri(path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _writer(folder: str, vocabulary: str, end_id: int) -> Callable:
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """`id`, `h` (a hash of the text), `width` and the payload `ids` of rows of `id`, `text`."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = id_encoder(vocabulary)
+        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        for batch in batches:
+            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            rows = {"id": batch.column("id"), "h": batch.column("h"), "width": pa.array([width] * len(ids), pa.int32())}
+            yield pa.RecordBatch.from_pydict(rows | {"ids": pa.array(ids, pa.binary())})
+
+    return map_batches(docs.select("id", F.xxhash64("text").alias("h"), "text"), run, "id long, h long, width int, ids binary")
+
+
+def _writer(folder: str) -> Callable:
     def write(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        encoder, task = id_encoder(vocabulary), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         path = f"{folder}/part-{task:06d}-{uuid.uuid4().hex}.records"
-        end = np.array([end_id], encoder.dtype).tobytes()
-        out, at, before, width = None, 0, 0, encoder.dtype.itemsize
+        out, at, before = None, 0, 0
         try:
             for batch in batches:
+                if not len(batch):
+                    continue
                 if out is None:
                     store, place = _filesystem(path)
                     store.create_dir(place.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(place)
-                records = framed([ids + end for ids in encoder.encode(batch.column("text").to_pylist())])
+                records = framed(batch.column("ids").to_pylist())
                 sizes = np.array([len(r) for r in records], np.int64)
-                tokens = (sizes - HEADER - FOOTER) // width
+                tokens = (sizes - HEADER - FOOTER) // batch.column("width").to_numpy()
                 out.write(b"".join(records))
                 n, rows = len(records), {"id": batch.column("id")}
                 rows |= {"file": pa.array([task] * n, pa.int32()), "path": pa.array([path] * n)}
-                rows |= {"at": at + np.cumsum(sizes) - sizes, "n_bytes": sizes, "width": pa.array([width] * n, pa.int32())}
+                rows |= {"at": at + np.cumsum(sizes) - sizes, "n_bytes": sizes, "width": batch.column("width")}
                 rows |= {"n_tokens": tokens, "tokens_before": before + np.cumsum(tokens) - tokens}
                 at, before = at + int(sizes.sum()), before + int(tokens.sum())
                 yield pa.RecordBatch.from_pydict(rows)
@@ -173,9 +200,9 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, row: str = "doc
     """
     spark = docs.sparkSession
     folder = new_path(spark, "records")
-    ordered = docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    ordered = ordered.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return written(map_batches(ordered, _writer(folder, vocabulary, end_id), INDEX), "index")
+    ids = encoded(docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text")), vocabulary, end_id)
+    ordered = written(ids, "ids").repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "width", "ids")
+    return written(map_batches(ordered, _writer(folder), INDEX), "index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:

@@ -427,3 +427,7 @@ def test_clean_documents_of_bad_hosts_stay_and_bad_ones_go(spark):
     kept = {r["doc_id"]: r for r in rules.kept_documents(df).collect()}
     assert set(kept) == {i for i, _, s in rows if s != "bad" or i % 10 == 0}
     assert kept[900].asDict() == {"doc_id": 900, "text": clean, "source": None, "n_words": "kept as it is"}
+
+
+def test_stores_go_by_the_scheme_that_the_reader_knows():
+    assert [records._uri(p) for p in ("s3a://b/x", "S3N://b/x", "s3://b/x", "hdfs://n/x", "/mnt/x", "file:/x")] == ["s3://b/x", "s3://b/x", "s3://b/x", "hdfs://n/x", "/mnt/x", "file:/x"]
