@@ -7,6 +7,8 @@ Three ways, all with the library's ids:
   token's string, or with a run of a length that its pattern has no stack for, go to the library.
 - A vocabulary that drops white space: texts are split at spaces and each piece is
   encoded once per worker, many pieces in one call with a control character between them.
+  If its words end in a mark and its merges stand in order, plain pieces go to tiktoken as
+  well, with a control character for the mark (`_word_ranks`).
 - Any other: the library, text by text.
 
 `Pieces` holds the values of pieces. A tokenizer's splitting never looks across a single
@@ -35,12 +37,16 @@ CACHED_PIECES, LASTING_PIECES = 700_000, 400_000
 #: Texts looked at together.
 TEXTS_AT_ONCE = 256
 #: Pieces encoded in one call.
-PIECES_AT_ONCE = 200
+PIECES_AT_ONCE, PLAIN_AT_ONCE = 200, 20_000
 #: How byte-level vocabularies split a text, and the bytes that they write as themselves.
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_BYTES = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 #: Between pieces in one call; a word of its own, with an id of its own.
 BETWEEN = "\x01"
+#: Stands for the end of a word in bytes given to tiktoken.
+WORD_END = "\x02"
+#: Pieces that every normaliser in use leaves alone but for lower case, a character each: printable Latin, without the dotted capital I.
+PLAIN_PIECE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]{0,1000}")
 #: Texts longer than this are looked through for longer runs of one kind.
 LONG_RUN = 50_000
 
@@ -81,18 +87,14 @@ class Pieces:
         return text.replace("\n", " ").split(" ")
 
     def _is_odd(self, piece: str) -> bool:
-        if not self.spaces:
-            return False
         body = piece[1:] if piece[:1] == "\n" else piece
         return not body or _SPACE.search(body) is not None or any(s in body for s in self.special)
 
     def _learn(self, missing: Iterable[str]) -> None:
-        plain = []
-        for piece in dict.fromkeys(missing):
-            if self._is_odd(piece):
-                self.known[piece] = ODD
-            else:
-                plain.append(piece)
+        plain = list(dict.fromkeys(missing))
+        if self.spaces:
+            self.known.update((p, ODD) for p in plain if self._is_odd(p))
+            plain = [p for p in plain if p not in self.known]
         texts = [p if not self.spaces or p[0] == "\n" else " " + p for p in plain]
         self.known.update(zip(plain, self.of_pieces(texts), strict=True))
 
@@ -134,6 +136,38 @@ def _byte_ranks(layout: dict, special: Iterable[str]) -> dict[bytes, int] | None
     return {bytes(byte_of[c] for c in t): i for t, i in left.items()}
 
 
+def _word_ranks(layout: dict, special: Iterable[str]) -> tuple[dict[bytes, int], list[int]] | None:
+    """Byte strings by order of merging, words closed by `WORD_END`, and the id of each; None for another layout.
+
+    The first merges join the last byte of a word and its end, which is how such vocabularies
+    begin; all others follow in their order. Merging by the joined string instead of by pair
+    gives the same as long as merging a token's own bytes gives that token (tested for the
+    public vocabulary): until its turn, its bytes merge as they do alone.
+    """
+    model, before = layout["model"], layout.get("pre_tokenizer") or {}
+    odd = ("unk_token", "continuing_subword_prefix", "dropout", "byte_fallback", "ignore_merges", "fuse_unk")
+    mark, steps = model.get("end_of_word_suffix"), [s.get("type") for s in before.get("pretokenizers", [])]
+    if model.get("type") != "BPE" or not mark or any(model.get(k) for k in odd) or steps != ["Split", "ByteLevel"]:
+        return None
+    plain = {b for low, high in PLAIN_BYTES for b in range(low, high + 1)}
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    end, special = WORD_END.encode(), set(special)
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix(mark)
+        return bytes(byte_of[c] for c in body) + (end if body != token else b"")
+
+    if any(c not in byte_of for t in model["vocab"] if t not in special for c in t.removesuffix(mark)):
+        return None
+    ids = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+    merged = [raw("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    single = [bytes([b]) for b in range(256)]
+    order = [*single, *(b + end for b in single), *merged]
+    if len(set(order)) != len(order) or set(order) != set(ids):
+        return None
+    return {b: i for i, b in enumerate(order)}, [ids[b] for b in order]
+
+
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, as little-endian bytes."""
 
@@ -164,6 +198,15 @@ class IdEncoder:
         alone = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         if kind == "dropped" and len(alone) == 1:
             self.between = alone[0]
+        of_words = _word_ranks(layout, self.special) if self.between is not None else None
+        self.words = None
+        if of_words:
+            import regex
+            import tiktoken
+
+            self.words = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=of_words[0], special_tokens={})
+            self.id_of = np.array(of_words[1], self.dtype)
+            self.find_words = regex.compile(layout["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
     @staticmethod
     def _kind(layout: dict) -> str | None:
@@ -186,11 +229,39 @@ class IdEncoder:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; many pieces go in one call where what lies between them can be told apart."""
-        import numpy as np
-
+        """The ids of each piece."""
         if self.between is None:
             return self._encode(pieces)
+        if self.words is None:
+            return self._encode_joined(pieces)
+        odd = [i for i, match in enumerate(map(PLAIN_PIECE.fullmatch, pieces)) if match is None]
+        if any(s in "\n".join(pieces) for s in self.special):
+            odd = sorted({*odd, *(i for i, p in enumerate(pieces) if any(s in p for s in self.special))})
+        plain = pieces[:]
+        for i in odd:
+            plain[i] = ""
+        found = list(self._encode_plain(plain))
+        for i, ids in zip(odd, self._encode_joined([pieces[i] for i in odd]), strict=True):
+            found[i] = ids
+        return found
+
+    def _encode_plain(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of plain pieces, by merging whole words."""
+        import numpy as np
+
+        size, last = self.dtype.itemsize, self.words.encode_single_token((BETWEEN + WORD_END).encode())
+        for at in range(0, len(pieces), PLAIN_AT_ONCE):
+            found = self.find_words(f" {BETWEEN} ".join([*pieces[at : at + PLAIN_AT_ONCE], ""]).lower())
+            ranks = np.array(self.words.encode_ordinary(WORD_END.join([*found, ""])), np.int64)
+            raw, start = self.id_of[ranks].tobytes(), 0
+            for end in (np.flatnonzero(ranks == last) * size).tolist():
+                yield raw[start:end]
+                start = end + size
+
+    def _encode_joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece by the library, many pieces in one call."""
+        import numpy as np
+
         groups = [pieces[at : at + PIECES_AT_ONCE] for at in range(0, len(pieces), PIECES_AT_ONCE)]
         found: list[bytes] = []
         for group, raw in zip(groups, self._encode([f" {BETWEEN} ".join(g) for g in groups]), strict=True):

@@ -1,5 +1,6 @@
 """Ids against the tokenizers library; packing plans made by the program."""
 
+import json
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from basewright.llm import packing
+from basewright.llm import packing, pieces
 from basewright.llm import queries as q
 from basewright.llm.pieces import LONG_RUN, IdEncoder
 
@@ -84,3 +85,37 @@ def test_the_plan_is_the_programs():
     assert got == +counts
     fewest = -(-sum(x * n for x, n in counts.items()) // q.SEQUENCE)
     assert sum(t for _, t in patterns) <= max(fewest + 1, fewest * 1.001)
+
+
+def test_every_token_of_the_word_vocabulary_is_what_its_own_bytes_merge_to():
+    """What merging by joined strings rests on; see `_word_ranks`."""
+    with open(pieces.vocabulary_path(q.WORD_VOCABULARY), encoding="utf-8") as f:
+        layout = json.load(f)
+    ranks, ids = pieces._word_ranks(layout, [t["content"] for t in layout["added_tokens"]])
+    pair_rank = {}
+    for i, m in enumerate(layout["model"]["merges"]):
+        pair_rank[tuple(m.split(" ") if isinstance(m, str) else m)] = i
+    for token in layout["model"]["vocab"]:
+        if token.startswith("<|"):
+            continue
+        body = token.removesuffix("</w>")
+        parts = list(body)
+        if body != token:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            at = min(range(len(parts) - 1), key=lambda k: pair_rank.get((parts[k], parts[k + 1]), 1 << 30))
+            assert (parts[at], parts[at + 1]) in pair_rank, token
+            parts[at : at + 2] = ["".join(parts[at : at + 2])]
+    assert len(ranks) == len(ids) == len(set(ids))
+
+
+def test_plain_and_odd_pieces_have_the_ids_of_the_library():
+    encoder, pick = IdEncoder(q.WORD_VOCABULARY), random.Random(3)
+    assert encoder.words is not None
+    letters = "theinganotsé ÉßŒſĳŉİıÀÿŸƏǅ'sT’“”…–.,;:!?()[]<|>_#$%&0123456789½²ªº\xad\xa0\x01\x02\x1c\x7f\x85\tΣσς中文🙂́ﬁK"
+    parts = ["the", "ing", "'s", "'LL", "n't", "<|endoftext|>", "<|", "http://", "1999", "naïve", *letters]
+    some = ["", "A" * 999, "Ab" * 700, *("".join(pick.choices(parts, k=pick.randrange(1, 9))).replace(" ", "") for _ in range(30_000))]
+    wanted = [encoder._bytes(e.ids) for e in encoder.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    assert encoder._encode_pieces(some) == wanted
+    texts = [" ".join(pick.choices(some, k=20)) + "\n" for _ in range(300)]
+    assert list(encoder.encode(texts)) == [encoder._bytes(e.ids) for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
