@@ -92,22 +92,22 @@ def ship_package(spark: SparkSession) -> None:
     context._has_package = True
 
 
-def _smaller(batches: Iterator) -> Iterator:
+def _smaller(batches: Iterator, rows: int) -> Iterator:
     for batch in batches:
-        for at in range(0, len(batch), ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
     """`mapInArrow`, with this package at hand where the function runs.
 
-    The function sees few rows at once, so that a task holds few texts as Python objects. What
+    The function sees at most `rows` at once, so that a task holds few texts as Python objects. What
     workers remember beyond a task is cut down at its end.
     """
     ship_package(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        yield from function(_smaller(batches))
+        yield from function(_smaller(batches, rows))
         end_of_task()
 
     return df.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ Three ways, all with the library's ids:
 - A byte-level vocabulary whose merges stand in order of id, the public layout of such
   vocabularies, is handed to tiktoken, which merges by that order. Texts with a special
   token's string, or with a run of a length that its pattern has no stack for, go to the library.
-- A vocabulary that drops white space: texts are split at spaces and each piece is
-  encoded once per worker, many pieces in one call with a control character between them.
+- A vocabulary that drops white space: texts are split at spaces and each distinct piece of
+  some texts is encoded once, many pieces in one call with a control character between them;
+  the texts' ids are then gathered from those of their pieces.
   If its words end in a mark and its merges stand in order, plain pieces go to tiktoken as
   well, with a control character for the mark (`_word_ranks`).
 - Any other: the library, text by text.
@@ -36,6 +37,8 @@ from .frames import at_end_of_task
 CACHED_PIECES, LASTING_PIECES = 700_000, 400_000
 #: Texts looked at together.
 TEXTS_AT_ONCE = 256
+#: Bytes of texts whose pieces are looked at together (a longer text goes alone).
+BYTES_AT_ONCE = 16 << 20
 #: Pieces encoded in one call.
 PIECES_AT_ONCE, PLAIN_AT_ONCE = 200, 20_000
 #: How byte-level vocabularies split a text, and the bytes that they write as themselves.
@@ -189,12 +192,13 @@ class IdEncoder:
         kind = self._kind(layout)
         ranks = _byte_ranks(layout, self.special) if kind == "bytes" else None
         self.pieces = self.whole = self.between = None
+        self.dropped = kind == "dropped"
         if ranks:
             import tiktoken
 
             self.whole = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        elif kind:
-            self.pieces = Pieces(self._encode_pieces, kind == "bytes", self.special)
+        elif kind == "bytes":
+            self.pieces = Pieces(self._encode_pieces, True, self.special)
         alone = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         if kind == "dropped" and len(alone) == 1:
             self.between = alone[0]
@@ -274,6 +278,37 @@ class IdEncoder:
             found += [raw[a:b] for a, b in zip(starts, [*cuts, len(raw)], strict=True)]
         return found
 
+    def _gathered(self, texts: Any) -> Iterator[bytes]:
+        """The ids of each text (an Arrow array) of a vocabulary that drops white space."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._encode_pieces(coded.dictionary.to_pylist())
+        size, code = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize, coded.indices.to_numpy()
+        start, n = np.cumsum(size) - size, size[code]
+        ends = np.cumsum(n)
+        place = np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        found, places = np.frombuffer(b"".join(ids), self.dtype)[place], np.concatenate(([0], ends))
+        pieces = pc.list_value_length(split).to_numpy()
+        cuts = places[np.concatenate(([0], np.cumsum(pieces)))].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield found[a:b].tobytes()
+
+    def encode_column(self, texts: Any) -> Iterator[bytes]:
+        """`encode` of an Arrow array of strings."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not self.dropped:
+            yield from self.encode(texts.to_pylist())
+            return
+        go = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(go)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from self._gathered(texts.slice(a, b - a))
+
     def _for_library(self, text: str) -> bool:
         if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _RUN.finditer(text)):
             return True
@@ -281,6 +316,11 @@ class IdEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; a null text has none."""
+        if self.dropped:
+            import pyarrow as pa
+
+            yield from self.encode_column(pa.array(list(texts), pa.string()))
+            return
         texts = [t or "" for t in texts]
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             some = texts[at : at + TEXTS_AT_ONCE]

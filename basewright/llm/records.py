@@ -39,6 +39,8 @@ CASTAGNOLI = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 BLOCK = 64
 HEADER, FOOTER = 12, 4
+#: Rows encoded together at most; texts stay in Arrow there, and go by bytes (`pieces.BYTES_AT_ONCE`).
+ROWS_ENCODED = 8192
 
 INDEX = "id long, file int, path string, at long, n_bytes long, width int, n_tokens long, tokens_before long"
 
@@ -152,11 +154,11 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encoder = id_encoder(vocabulary)
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode_column(batch.column("text"))]
             rows = {"id": batch.column("id"), "h": batch.column("h"), "width": pa.array([width] * len(ids), pa.int32())}
             yield pa.RecordBatch.from_pydict(rows | {"ids": pa.array(ids, pa.binary())})
 
-    return map_batches(docs.select("id", F.xxhash64("text").alias("h"), "text"), run, "id long, h long, width int, ids binary")
+    return map_batches(docs.select("id", F.xxhash64("text").alias("h"), "text"), run, "id long, h long, width int, ids binary", ROWS_ENCODED)
 
 
 def _writer(folder: str) -> Callable:
