@@ -10,7 +10,7 @@ rule stays whatever its host.
 Defined results: a null or empty text has no words and fails. Documents without a host
 form one host. With an empty table the result is empty. Repeated rows are judged alike,
 each on its own. Columns of the input that carry one of the names in `MEASURES`,
-`base_failed` or `kept` are replaced.
+`base_failed` or `kept` are replaced; all others come back as they were, whatever their name.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sinks.shared import written
-from .frames import WORD, bound, words
+from .frames import WORD, apart, bound, words
 
 SYMBOL = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host is bad at a rule when its shrunk failure rate is above this.
-BAD_HOST_RATE = 0.5
+#: A host is bad at a rule when its odds of failure are surely above so many times those of all documents.
+TIMES = 3
+#: Surely: by so many standard deviations of the posterior.
+SURE = 2
 #: Strength of the prior, in documents, where hosts differ no more than chance lets them.
 MAX_STRENGTH = 1000.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -40,6 +42,10 @@ SOFT_RULES = {
 }
 
 
+#: Failures of the hard rules, among the rules a host can be bad at.
+HARD = "hard"
+
+
 def repeat_words(found: Column) -> Column:
     """Words in three-word windows that occur twice or more; `found` is an array of words.
 
@@ -103,16 +109,16 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(tried: DataFrame, host: str) -> DataFrame:
-    """Per host and soft rule: documents, failures, and the rate shrunk by an empirical beta prior.
+    """Per host and rule (the hard ones count as one): documents, failures, the rate shrunk by an empirical beta prior, `bad`.
 
     The prior has the mean rate of all documents; its strength follows from how much
     the hosts' rates differ beyond what their sizes explain (method of moments).
     """
     counts = tried.groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"_soft_{r}")).alias(r) for r in SOFT_RULES)
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"_soft_{r}")).alias(r) for r in SOFT_RULES), F.count_if("base_failed").alias(HARD)
     )
     long = written(counts, "hosts").select(
-        "host", "n", F.explode(F.create_map(*[x for r in SOFT_RULES for x in (F.lit(r), F.col(r))])).alias("rule", "failures")
+        "host", "n", F.explode(F.create_map(*[x for r in (*SOFT_RULES, HARD) for x in (F.lit(r), F.col(r))])).alias("rule", "failures")
     )
     mean = F.sum("failures") / F.sum("n")
     spread = F.sum(F.col("failures") * F.col("failures") / F.col("n"))
@@ -124,25 +130,28 @@ def host_rates(tried: DataFrame, host: str) -> DataFrame:
     between = F.col("var") - chance * F.col("per_doc")
     strength = F.when(between * MAX_STRENGTH > chance, chance / between).otherwise(F.lit(MAX_STRENGTH))
     prior = prior.select("rule", "mean", strength.alias("strength"))
-    return long.join(prior, "rule").withColumn(
+    rated = long.join(prior, "rule").withColumn(
         "rate", (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
     )
+    low = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    return rated.withColumn("bad", low * (1 - F.col("mean")) > TIMES * F.col("mean") * (1 - low))
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """`docs` with the measures, `base_failed` and `kept`."""
-    tried = measured(docs, text)
+    own, at = apart(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "kept"))))
+    tried = measured(own, at[text])
     bad = (
-        host_rates(tried, host)
-        .where(F.col("rate") > BAD_HOST_RATE)
+        host_rates(tried, at[host])
+        .where("bad")
         .groupBy("host")
         .agg(F.collect_set("rule").alias("_bad"))
         .withColumnRenamed("host", "_host")
     )
-    both = tried.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left")
-    broken = [F.col(f"_soft_{r}") & F.coalesce(F.array_contains("_bad", r), F.lit(False)) for r in SOFT_RULES]
-    kept = ~F.col("base_failed") & ~reduce(lambda a, b: a | b, broken)
-    return both.withColumn("kept", kept).drop("_bad", "_host", *(f"_soft_{r}" for r in SOFT_RULES))
+    both = tried.join(bad, F.col(at[host]).eqNullSafe(F.col("_host")), "left")
+    counts = lambda r: F.coalesce(F.array_contains("_bad", r) | F.array_contains("_bad", HARD), F.lit(False))
+    kept = reduce(lambda a, r: a & ~(F.col(f"_soft_{r}") & counts(r)), SOFT_RULES, ~F.col("base_failed"))
+    return both.select(*(F.col(n).alias(c) for c, n in at.items()), *MEASURES, "base_failed", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -233,16 +233,18 @@ ORACLES = {
                 n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
         b AS (
             SELECT *, [word_chars < 2 * n_words OR word_chars > 15 * n_words, 10 * n_symbols > n_words,
-                n_dup_lines > 5 AND 10 * n_dup_lines > len(lines) * 3, 100 * n_repeat_words > 30 * n_words] AS broken FROM f),
-        e AS (SELECT doc_id, source, unnest(range(1, 5)) AS rule, unnest(broken) AS broke FROM b),
+                n_dup_lines > 5 AND 10 * n_dup_lines > len(lines) * 3, 100 * n_repeat_words > 30 * n_words, base_failed] AS broken FROM f),
+        e AS (SELECT doc_id, source, unnest(range(1, 6)) AS rule, unnest(broken) AS broke FROM b),
         h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (broke) AS failures FROM e GROUP BY source, rule),
         p AS (
             SELECT rule, sum(failures) / sum(n) AS mean,
                 sum(failures * failures / n) / sum(n) - (sum(failures) / sum(n)) * (sum(failures) / sum(n)) - (sum(failures) / sum(n)) * (1 - sum(failures) / sum(n)) * count(*) / sum(n) AS between_
             FROM h GROUP BY rule),
         k AS (SELECT rule, mean, CASE WHEN between_ * 1000 > mean * (1 - mean) THEN mean * (1 - mean) / between_ ELSE 1000 END AS strength FROM p),
-        bad AS (SELECT source, rule FROM h JOIN k USING (rule) WHERE (failures + mean * strength) / (n + strength) > 0.5),
-        gone AS (SELECT DISTINCT e.doc_id FROM e JOIN bad ON bad.rule = e.rule AND bad.source IS NOT DISTINCT FROM e.source WHERE broke)
+        r AS (SELECT source, rule, mean, n + strength AS weight, (failures + mean * strength) / (n + strength) AS rate FROM h JOIN k USING (rule)),
+        l AS (SELECT source, rule, mean, rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) AS low FROM r),
+        bad AS (SELECT source, rule FROM l WHERE low * (1 - mean) > 3 * mean * (1 - low)),
+        gone AS (SELECT DISTINCT e.doc_id FROM e JOIN bad ON bad.rule IN (e.rule, 5) AND bad.source IS NOT DISTINCT FROM e.source WHERE broke)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM b""",
     "op11_hash_tree_shards": r"""
