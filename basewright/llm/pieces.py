@@ -24,6 +24,7 @@ import json
 import os
 import re
 import sys
+import weakref
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -54,7 +55,7 @@ PLAIN_PIECE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]{0,1000}")
 LONG_RUN = 50_000
 
 _SPACE = re.compile(r"\s")
-_RUN = re.compile(r"\s+|\S+")
+RUN = re.compile(r"\s+|\S+")
 ODD = object()
 
 
@@ -78,7 +79,9 @@ class Pieces:
     def __init__(self, of_pieces: Callable[[list[str]], list[Any]], spaces: bool, special: Iterable[str] = ()):
         self.of_pieces, self.spaces, self.special = of_pieces, spaces, tuple(special)
         self.known: dict[str, Any] = {}
-        at_end_of_task(self.forget)
+        # A worker may go on with another model: what it remembers of this one isn't kept alive.
+        this = weakref.ref(self)
+        at_end_of_task(lambda: this() and this().forget())
 
     def forget(self) -> None:
         if len(self.known) > LASTING_PIECES:
@@ -310,7 +313,7 @@ class IdEncoder:
             yield from self._gathered(texts.slice(a, b - a))
 
     def _for_library(self, text: str) -> bool:
-        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _RUN.finditer(text)):
+        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in RUN.finditer(text)):
             return True
         return any(s in text for s in self.special)
 

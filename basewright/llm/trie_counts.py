@@ -5,11 +5,15 @@ bytes; each node holds the best score of any segmentation of the bytes that lead
 which depends on those bytes only, so all pre-tokens with that prefix share it. What
 stands at a pre-token's last node (tokens, score) is kept as its count.
 
-The vocabulary is a public list of byte strings by rank. Its scores follow Zipf's law:
-log p(rank) = -log((rank + 1) * H), H the sum of 1/(rank + 1). The segmentation with the
-highest score is taken; of equal ones, that with fewer tokens.
-
-Defined results: a null or empty text has no tokens and a score of 0. Every byte is in
+The vocabulary is a public list of byte strings by rank. The model is learnt from the table
+itself: every text is segmented once by the vocabulary's own merges, tokens are counted over
+all texts, and p(token) = (count + 1) / (tokens + vocabulary), which sums to 1 and leaves no
+token without a probability. Only these counts, one a vocabulary entry, come to the driver. The
+segmentation with the highest score is taken; of equal ones, that with fewer tokens.
+
+Defined results: a null or empty text has no tokens and a score of 0. In counting, a text
+with a run of more than `LONG_RUN` white or other characters is segmented in slices of that
+length. Every byte is in
 the vocabulary, so every text can be segmented; texts are taken whole. Repeated rows get
 the same counts, each on its own; empty tables give empty results; extra columns are
 ignored.
@@ -20,26 +24,68 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches
-from .pieces import TEXTS_AT_ONCE, Pieces, vocabulary_path
+from .pieces import BYTE_PATTERN, LONG_RUN, RUN, TEXTS_AT_ONCE, Pieces, vocabulary_path
 from .speculative_bpe import SPLIT
 
 #: A trie with more nodes than this is begun anew: bounds memory, not results.
 MAX_NODES = 300_000
 
 
+def _ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary_path(vocabulary), "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+def _slices(text: str) -> list[str]:
+    """The text, or slices of it where a run in it is too long for the splitting pattern."""
+    if len(text) <= LONG_RUN or all(m.end() - m.start() <= LONG_RUN for m in RUN.finditer(text)):
+        return [text]
+    return [text[at : at + LONG_RUN] for at in range(0, len(text), LONG_RUN)]
+
+
+def merged_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """`token` (its rank) and `n`: how often it occurs when the texts are merged by rank."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import tiktoken
+
+        ranks = _ranks(vocabulary)
+        encode = tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        n = np.zeros(max(ranks.values()) + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for part in _slices(text or ""):
+                    n += np.bincount(np.array(encode(part), np.int64), minlength=len(n))
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["token", "n"])
+
+    return map_batches(docs.select(F.col(text)), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def learnt(docs: DataFrame, vocabulary: str, text: str = "text"):
+    """Natural logarithms of the probabilities by rank, as an array."""
+    import numpy as np
+
+    ranks = _ranks(vocabulary)
+    n = np.zeros(max(ranks.values()) + 1)
+    for r in merged_counts(docs, vocabulary, text).collect():
+        n[r["token"]] = r["n"]
+    return np.log((n + 1) / (n.sum() + len(ranks)))
+
+
 class UnigramTrie:
-    def __init__(self, vocabulary: str):
-        with open(vocabulary_path(vocabulary), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        norm = math.log(sum(1 / (r + 1) for r in ranks.values()))
-        self.log_p = {token: -math.log(rank + 1) - norm for token, rank in ranks.items()}
+    """`log_p` has the logarithm of the probability of each rank."""
+
+    def __init__(self, vocabulary: str, log_p):
+        self.log_p = {token: float(log_p[rank]) for token, rank in _ranks(vocabulary).items()}
         self.longest = max(map(len, self.log_p))
         if any(bytes([b]) not in self.log_p for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
@@ -102,19 +148,26 @@ class UnigramTrie:
                     yield sum(words) - line_end[0], sum(tokens) - line_end[1], math.fsum((*scores, -line_end[2]))
 
 
-@cache
-def unigram_trie(vocabulary: str) -> UnigramTrie:
-    """One for a worker's life."""
-    return UnigramTrie(vocabulary)
+_latest: dict[tuple, UnigramTrie] = {}
+
+
+def unigram_trie(vocabulary: str, log_p) -> UnigramTrie:
+    """One for as long as a worker goes on with the same model."""
+    key = (vocabulary, log_p.tobytes())
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = UnigramTrie(vocabulary, log_p)
+    return _latest[key]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """`row`, `n_pretokens`, `n_tokens` and `log_score` (natural) of every document."""
+    """`row`, `n_pretokens`, `n_tokens` and `log_score` (natural) of every document, by a model learnt from all of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, vocabulary, text))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        trie = unigram_trie(vocabulary)
+        trie = unigram_trie(vocabulary, shared.value)
         for batch in batches:
             words, tokens, scores = zip(*trie.of_texts(batch.column(1).to_pylist()), strict=True) if len(batch) else ((), (), ())
             columns = [pa.array(words, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())]

@@ -199,7 +199,8 @@ def shingles_of(text, n):
 
 
 def test_trie_counts(spark, folder):
-    trie = trie_counts.UnigramTrie(q.RANKED_VOCABULARY)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    trie = trie_counts.UnigramTrie(q.RANKED_VOCABULARY, trie_counts.learnt(docs, q.RANKED_VOCABULARY))
     for r in q.QUERIES["op4_token_counts"](spark, folder).collect():
         text = texts(spark, folder)[r["doc_id"]] or "" if r["doc_id"] < 40 and r["doc_id"] not in (10, 11) else None
         if text is None:
