@@ -203,8 +203,14 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, row: str = "doc
     spark = docs.sparkSession
     folder = new_path(spark, "records")
     ids = encoded(docs.select(F.col(row).cast("long").alias("id"), F.col(text).alias("text")), vocabulary, end_id)
-    ordered = written(ids, "ids").repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "width", "ids")
-    return written(map_batches(ordered, _writer(folder), INDEX), "index")
+    step = new_path(spark, "ids")
+    ids.write.option("compression", "zstd").parquet(step)
+    ordered = spark.read.schema(ids.schema).parquet(step).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    index = written(map_batches(ordered.select("id", "width", "ids"), _writer(folder), INDEX), "index")
+    # Records and index are files by now: nothing reads the step again.
+    place = spark._jvm.org.apache.hadoop.fs.Path(step)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return index
 
 
 def with_starts(index: DataFrame) -> DataFrame:
