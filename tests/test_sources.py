@@ -2,9 +2,12 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from basewright import Tables
 from basewright.functions.columns import lateness, product_segment
 from basewright.operators.grouping import one_row_per
+from basewright.sources import fixtures
 from basewright.sources.collections import advanced, collections_source, latest_state
 from basewright.sources.naming import renamed
 
@@ -124,3 +127,15 @@ def test_grouping(tables, rows):
     assert rows(one_row_per(union, ["customer__id"])) == [(10,), (20,)]
     with pytest.raises(ValueError):
         one_row_per(union, [])
+
+
+def test_tasks_of_the_daily_view_follow_the_lines(spark, monkeypatch):
+    """The fewer lines a task is given, the more tasks there are, however well a shuffle packs."""
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", 10_000)
+    lines = spark.range(300_000).selectExpr("id DIV 5 AS l_orderkey", "CAST(id % 5 AS INT) AS l_linenumber")
+    orders = spark.range(60_000).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey", "'F' AS o_orderstatus", "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS o_orderdate")
+    daily = fixtures.collections_daily(lines, orders)
+    for df in (daily, latest_state(daily)):
+        held = df.groupBy(F.spark_partition_id().alias("p")).count()
+        assert held.count() == 30 and held.agg(F.max("count")).first()[0] <= 12_000
+    assert daily.count() == 300_000 and latest_state(daily).count() == 60_000
