@@ -88,7 +88,8 @@ def _closer(rows: DataFrame, proposed: DataFrame, by: Sequence[str], order: Sequ
     n = range(len(AROUND))
     bucket = with_cut(rows, proposed, by).where(_in_bucket(order))
     counts = [F.count_if(_place(order) <= F.col(f"_cut.b{i}")).alias(f"n{i}") for i in n]
-    counted = bucket.groupBy(*by).agg(F.first("_cut").alias("_cut"), *counts)
+    # Counts alone are hashed as rows stream by; with the cut's structs among them every task would sort its rows.
+    counted = with_cut(bucket.groupBy(*by).agg(*counts), proposed, by)
     keys = [F.col(c).alias(k) for c, k in zip(by, _key_names(by), strict=True)]
     at = counted.select(*keys, "_cut.*", *((F.col(f"n{i}") + F.col("_cut.n_lower")).alias(f"n{i}") for i in n))
 

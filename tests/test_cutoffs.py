@@ -133,3 +133,12 @@ def test_a_large_cap_is_dealt_out_over_the_tasks(spark, tasks):
     held = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert held <= 5000
     assert any_rows(df, 50_000).count() == 40_000
+
+
+def test_rows_of_a_bucket_are_counted_without_sorting(spark):
+    df = written(spark.range(0, 20_000, 1, 4).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("a")))
+    cuts = cut._counted(df, ["k"], ["a"], F.lit(5000))
+    closer = cut._closer(df, cut._proposed(df, cuts, ["k"], ["a"], 1), ["k"], ["a"])
+    assert {(r["cap"], r["n_lower"] <= 5000 <= r["n_upper"]) for r in closer.collect()} == {(5000, True)}
+    text = closer._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text
