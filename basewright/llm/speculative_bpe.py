@@ -4,7 +4,8 @@ Greedy longest match proposes tokens for a word. They are its BPE tokens exactly
 each token stands for itself and no two neighbours would have been merged across their
 border, which can be read off the merge ranks by undoing the neighbours' own merges,
 latest first. All neighbours of all new words of a batch are checked at once, as
-arrays. Words that fail are merged exactly, lowest rank first.
+arrays. Words that fail are merged exactly, lowest rank first; where the merges stand in
+order of id, as in public vocabularies, tiktoken does this for words of usual length.
 
 Defined results: a null or empty text has no ids and decodes to nothing. Texts are
 encoded whole at any length; a special token's string becomes its id, as the tokenizers
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches
-from .pieces import TEXTS_AT_ONCE, Pieces, vocabulary_path
+from .pieces import TEXTS_AT_ONCE, Pieces, _byte_ranks, vocabulary_path
 
 #: Fixed value: how text is split before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +34,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 NO_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words up to this many bytes are merged by plain scans.
 SHORT = 48
+#: Words up to this many bytes are merged by tiktoken, where the vocabulary allows it.
+USUAL = 400
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -81,6 +84,14 @@ class SpeculativeBpe:
         #: Tokens that BPE makes of their own bytes; only these are proposed.
         self.proposed = {b: i for b, i in self.id_of.items() if len(b) == 1 or self.exact(b) == [i]}
         self.longest = max(map(len, self.proposed))
+        # Merging by joined strings is the same only if each token stands for itself.
+        ranks = _byte_ranks(layout, self.special)
+        self.by_rank = None
+        if ranks and all(b in self.proposed for b in ranks):
+            import tiktoken
+
+            # The pattern takes a word as it is.
+            self.by_rank = tiktoken.Encoding("word", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.splitter, self.rare = regex.compile(SPLIT), regex.compile("[\\x1c-\\x1f]|[^\\x00-\u024f]")
         self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -93,6 +104,10 @@ class SpeculativeBpe:
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
         return self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)
 
+    def corrected(self, word: bytes) -> list[int]:
+        """The ids of a word whose guess failed; the same as `exact` gives."""
+        return self.by_rank(word.decode()) if self.by_rank and len(word) <= USUAL else self.exact(word)
+
     def _merged(self, ids: list[int]) -> list[int]:
         rank_of, size, none = self.merge_rank.get, self.size, len(self.made)
         ranks = [rank_of(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
@@ -171,7 +186,7 @@ class SpeculativeBpe:
         inside = owner[:-1] == owner[1:]
         good = self.compatible(flat[:-1][inside], flat[1:][inside])
         for i in np.unique(owner[:-1][inside][~good]).tolist():
-            ids[i] = self.exact(words[i])
+            ids[i] = self.corrected(words[i])
             self.failed += 1
         self.tried += len(words)
         return ids
