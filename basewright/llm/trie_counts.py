@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections.abc import Iterator
 
 import regex
@@ -35,6 +36,8 @@ from .speculative_bpe import SPLIT
 
 #: A trie with more nodes than this is begun anew: bounds memory, not results.
 MAX_NODES = 300_000
+#: Tokens counted together; each count goes over the whole vocabulary.
+COUNTED_AT_ONCE = 1_000_000
 
 
 def _ranks(vocabulary: str) -> dict[bytes, int]:
@@ -59,11 +62,15 @@ def merged_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
 
         ranks = _ranks(vocabulary)
         encode = tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        n = np.zeros(max(ranks.values()) + 1, np.int64)
+        n, held = np.zeros(max(ranks.values()) + 1, np.int64), array("q")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in _slices(text or ""):
-                    n += np.bincount(np.array(encode(part), np.int64), minlength=len(n))
+                    held.extend(encode(part))
+                if len(held) >= COUNTED_AT_ONCE:
+                    n += np.bincount(held, minlength=len(n))
+                    held = array("q")
+        n += np.bincount(np.array(held, np.int64), minlength=len(n))
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["token", "n"])
 
@@ -86,7 +93,8 @@ class UnigramTrie:
 
     def __init__(self, vocabulary: str, log_p):
         self.log_p = {token: float(log_p[rank]) for token, rank in _ranks(vocabulary).items()}
-        self.longest = max(map(len, self.log_p))
+        #: The same for every end of a token, minus infinity where it is none itself: longer strings than these are no tokens.
+        self.ends = dict.fromkeys((t[at:] for t in self.log_p for at in range(len(t))), -math.inf) | self.log_p
         if any(bytes([b]) not in self.log_p for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.splitter = regex.compile(SPLIT)
@@ -100,14 +108,15 @@ class UnigramTrie:
 
     def _add(self, path: list[int], word: bytes, end: int) -> int:
         """A new node for `word[:end]`; `path` has the nodes of the shorter prefixes."""
-        best, fewest, log_p = -math.inf, 0, self.log_p
-        for start in range(max(0, end - self.longest), end):
-            p = log_p.get(word[start:end])
-            if p is not None:
-                before = path[start]
-                score, tokens = self.score[before] + p, self.tokens[before] + 1
-                if score > best or score == best and tokens < fewest:
-                    best, fewest = score, tokens
+        best, fewest, ends = -math.inf, 0, self.ends
+        for start in range(end - 1, -1, -1):
+            p = ends.get(word[start:end])
+            if p is None:
+                break
+            before = path[start]
+            score, tokens = self.score[before] + p, self.tokens[before] + 1
+            if score > best or score == best and tokens < fewest:
+                best, fewest = score, tokens
         self.score.append(best)
         self.tokens.append(fewest)
         return len(self.score) - 1
