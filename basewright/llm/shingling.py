@@ -31,6 +31,38 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+def split(texts):
+    """Words (A-Z lower-cased, parted by ASCII white space) of an Arrow array of texts, null ones empty: the distinct
+    words, the place of each word among them, and the number of each text's."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, offsets = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    # White space at either end of a text leaves an empty string.
+    full = pc.greater(pc.binary_length(found), 0)
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    words = found.filter(full).dictionary_encode()
+    return words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), words.indices.to_numpy(), np.diff(before[offsets])
+
+
+def hashed(words):
+    """Hashes of words."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def word_hashes_of(texts):
+    """`word_hashes` of each text of an Arrow array."""
+    import numpy as np
+
+    words, at, lengths = split(texts)
+    return np.split(hashed(words)[at], np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
 def word_hashes(text: str | None, lead: int = 0):
     """Hashes of a text's words (A-Z lower-cased, parted by ASCII white space), after `lead` empty ones."""
     import numpy as np

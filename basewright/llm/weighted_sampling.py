@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches, shuffle_partitions
-from .shingling import GOLDEN, mixed, runs, word_hashes
+from .shingling import GOLDEN, hashed, mixed, runs, word_hashes, word_hashes_of
 
 SHINGLE = 5
 SAMPLES = 64
@@ -41,84 +41,99 @@ MIX_3, MIX_4, MIX_5 = 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F
 EMPTY = "0" * (4 * SAMPLES)
 
 
-def shingles(text: str):
-    """Sorted hashes of the distinct shingles of a text, and how often each occurs."""
+def shingles(words):
+    """Sorted hashes of the distinct shingles of a text, and how often each occurs; from the hashes of its words."""
     import numpy as np
 
-    return np.unique(runs(word_hashes(text, SHINGLE - 1), SHINGLE), return_counts=True)
+    return np.unique(runs(np.concatenate([np.zeros(SHINGLE - 1, np.uint64), words]), SHINGLE), return_counts=True)
 
 
 def draws(hashes):
-    """For shingles: r, b and ln c of every sample, as arrays of (samples, shingles)."""
+    """For shingles: r, b and ln c of every sample, as arrays of (shingles, samples)."""
     import numpy as np
 
-    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64)).astype(np.uint32).reshape(5, SAMPLES, 1)
-
-    def unit(i):
-        """24 bits of a 32-bit mix of hash and seed, as a number in (0, 1)."""
-        x = (low ^ seeds[i]) * np.uint32(MIX_3)
-        x ^= x >> np.uint32(15)
-        x += high
-        x *= np.uint32(MIX_4)
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(MIX_5)
-        x >>= np.uint32(8)
+    low, high = hashes.astype(np.uint32).reshape(-1, 1), (hashes >> np.uint64(32)).astype(np.uint32).reshape(-1, 1)
+    seeds = mixed(np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64)).astype(np.uint32).reshape(5, 1, SAMPLES)
+
+    x, shifted = np.empty((2, len(hashes), SAMPLES), np.uint32)
+
+    def bits(i):
+        """24 bits of a 32-bit mix of hash and seed, and a half: 2 ** 24 times a number in (0, 1)."""
+        np.bitwise_xor(low, seeds[i], out=x)
+        np.multiply(x, np.uint32(MIX_3), out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint32(15), out=shifted), out=x)
+        np.add(x, high, out=x)
+        np.multiply(x, np.uint32(MIX_4), out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint32(16), out=shifted), out=x)
+        np.multiply(x, np.uint32(MIX_5), out=x)
+        np.right_shift(x, np.uint32(8), out=x)
         u = x.view(np.int32).astype(np.float32)
         u += np.float32(0.5)
-        u *= np.float32(2.0**-24)
         return u
 
-    r = np.log(unit(0) * unit(1))
-    np.negative(r, out=r)
-    ln_c = np.log(unit(2) * unit(3))
-    np.negative(ln_c, out=ln_c)
-    return r, unit(4), np.log(ln_c, out=ln_c)
+    def minus_log(i):
+        """- ln of the product of two numbers; the powers of two change no digit."""
+        u = bits(i)
+        u *= bits(i + 1)
+        u *= np.float32(2.0**-48)
+        return np.negative(np.log(u, out=u), out=u)
+
+    r, ln_c, b = minus_log(0), minus_log(2), bits(4)
+    b *= np.float32(2.0**-24)
+    return r, b, np.log(ln_c, out=ln_c)
 
 
 def scores(hashes, weights):
-    """ln a of every sample and shingle, and t where a weight is above 1 (else None: all 0)."""
+    """ln a of every shingle and sample, and t where a weight is above 1 (else None: all 0)."""
     import numpy as np
 
-    a, t = np.empty((SAMPLES, len(hashes)), np.float32), None
+    a, t = np.empty((len(hashes), SAMPLES), np.float32), None
     for i in range(0, len(hashes), TOGETHER):
         here = slice(i, i + TOGETHER)
         r, b, ln_c = draws(hashes[here])
         step = 1 - b
         if (weights[here] > 1).any():
             t = np.zeros_like(a) if t is None else t
-            t[:, here] = np.floor(np.log(weights[here].astype(np.float32)) / r + b)
-            step += t[:, here]
+            t[here] = np.floor(np.log(weights[here].astype(np.float32)).reshape(-1, 1) / r + b)
+            step += t[here]
         step *= r
-        np.subtract(ln_c, step, out=a[:, here])
+        np.subtract(ln_c, step, out=a[here])
     return a, t
 
 
 class Document:
-    """A text with its shingles, their scores and its samples."""
+    """A text with its words, its shingles, their scores and its samples."""
 
-    def __init__(self, text: str | None, like: Document | None = None):
-        """`like` is a document most of whose shingles this one has: their scores are used again."""
+    def __init__(self, text: str | None, words=None, like: tuple[Document, ...] = ()):
+        """`words`: hashes of the words, if known. `like`: documents that have most of the shingles; their scores are used again."""
         import numpy as np
 
         self.text = text or ""
-        self.hashes, self.weights = shingles(self.text)
+        self.words = word_hashes(self.text) if words is None else words
+        self.hashes, self.weights = shingles(self.words)
         self.a = self.samples = None
         if not len(self.hashes):
             return
-        if like is None or not len(like.hashes):
+        t, new = None, np.ones(len(self.hashes), bool)
+        for other in like:
+            if not len(other.hashes):
+                continue
+            at = np.minimum(np.searchsorted(other.hashes, self.hashes), len(other.hashes) - 1)
+            known = new & (other.hashes[at] == self.hashes) & (self.weights == 1) & (other.weights[at] == 1)
+            if self.a is None:
+                self.a = other.a[at]
+            else:
+                self.a[known] = other.a[at[known]]
+            new &= ~known
+        if self.a is None:
             self.a, t = scores(self.hashes, self.weights)
-        else:
-            at = np.minimum(np.searchsorted(like.hashes, self.hashes), len(like.hashes) - 1)
-            known = (like.hashes[at] == self.hashes) & (self.weights == 1) & (like.weights[at] == 1)
-            self.a, t, new = like.a[:, at], None, ~known
-            if new.any():
-                self.a[:, new], steps = scores(self.hashes[new], self.weights[new])
-                if steps is not None:
-                    t = np.zeros_like(self.a)
-                    t[:, new] = steps
-        least = self.a.argmin(axis=1)
-        steps = np.uint64(0) if t is None else t[np.arange(SAMPLES), least].astype(np.uint64) * np.uint64(GOLDEN)
+        elif new.any():
+            self.a[new], steps = scores(self.hashes[new], self.weights[new])
+            if steps is not None:
+                t = np.zeros_like(self.a)
+                t[new] = steps
+        least = self.a.argmin(axis=0)
+        steps = np.uint64(0) if t is None else t[least, np.arange(SAMPLES)].astype(np.uint64) * np.uint64(GOLDEN)
         #: 16-bit codes of the chosen shingle and its t.
         self.samples = (mixed(self.hashes[least] + steps) >> np.uint64(48)).astype(np.uint16)
 
@@ -130,10 +145,21 @@ class Document:
             return float(self.samples is other.samples)
         return float((self.samples == other.samples).mean())
 
-    def edited(self, following: str) -> str:
-        """The last third replaced by the start of the next text."""
+    def edited(self, following: Document) -> Document:
+        """The last third of the text replaced by the start of the next one's."""
+        import numpy as np
+
         third = len(self.text) // 3
-        return self.text[: len(self.text) - third] + following[:third]
+        kept, start = self.text[: len(self.text) - third], following.text[:third]
+        parts = [t.encode("utf-8", "surrogatepass") for t in (kept, start)]
+        left, right = (t.split() for t in parts)
+        # Words are as they were but where the texts meet and at the end: these are hashed anew.
+        meeting, last = [*left[-1:], *right[:1]], right[1:][-1:]
+        if left and right and not parts[0][-1:].isspace() and not parts[1][:1].isspace():
+            meeting = [left[-1] + right[0]]
+        new = hashed([w.lower() for w in meeting + last])
+        words = np.concatenate([self.words[: max(len(left) - 1, 0)], new[: len(meeting)], following.words[1 : max(len(right) - 1, 1)], new[len(meeting) :]])
+        return Document(kept + start, words, (self, following))
 
 
 def likeness(one: str, other: str) -> float:
@@ -148,7 +174,8 @@ def fingerprints(docs: DataFrame, row: str = "doc_id", text: str = "text") -> Da
         import pyarrow as pa
 
         for batch in batches:
-            prints = [Document(t).fingerprint() for t in batch.column(1).to_pylist()]
+            words = word_hashes_of(batch.column(1))
+            prints = [Document(t, w).fingerprint() for t, w in zip(batch.column(1).to_pylist(), words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["row", "fingerprint"])
 
     kind = dict(docs.dtypes)[row]
@@ -199,10 +226,11 @@ def edit_likeness(docs: DataFrame, row: str = "doc_id", text: str = "text") -> D
         last_id, last = None, None
         for batch in batches:
             out = []
-            for row_id, body, guest in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "guest")), strict=True):
-                here = Document(body)
+            words = word_hashes_of(batch.column("text"))
+            for row_id, body, guest, known in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "guest")), words, strict=True):
+                here = Document(body, known)
                 if last is not None:
-                    edited = Document(last.edited(here.text), like=last)
+                    edited = last.edited(here)
                     digest = hashlib.sha256(edited.text.encode()).hexdigest()
                     prints = last.fingerprint(), edited.fingerprint()
                     out.append((last_id, len(last.text), digest, *prints, last.likeness(edited), last.likeness(here)))
