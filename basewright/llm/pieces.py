@@ -87,10 +87,33 @@ class Pieces:
         if len(self.known) > LASTING_PIECES:
             self.known = dict(islice(self.known.items(), LASTING_PIECES))
 
+    def _parted(self, text: str) -> str:
+        """The text with a space between its pieces."""
+        return ("\n" + text).replace("\n", " \n")[1:] if self.spaces else text.replace("\n", " ")
+
     def split(self, text: str) -> list[str]:
-        if self.spaces:
-            return ("\n" + text).replace("\n", " \n")[1:].split(" ")
-        return text.replace("\n", " ").split(" ")
+        return self._parted(text).split(" ")
+
+    def _make_room(self) -> None:
+        if len(self.known) > CACHED_PIECES:
+            for piece in list(islice(self.known, len(self.known) // 2)):
+                del self.known[piece]
+
+    def gathered(self, texts: list[str]):
+        """The values of the distinct pieces of all texts (`ODD` ones included), the place of each piece among them, and
+        the number of pieces of each text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self._make_room()
+        lists = pc.split_pattern(pa.array(map(self._parted, texts), pa.string()), " ")
+        pieces = lists.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.known.get, distinct))
+        if None in values:
+            self._learn(p for p, v in zip(distinct, values, strict=True) if v is None)
+            values = list(map(self.known.get, distinct))
+        return values, pieces.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
 
     def _is_odd(self, piece: str) -> bool:
         body = piece[1:] if piece[:1] == "\n" else piece
@@ -109,9 +132,7 @@ class Pieces:
 
         With `spaces`, the first value has a line end before it that the text has not.
         """
-        if len(self.known) > CACHED_PIECES:
-            for piece in list(islice(self.known, len(self.known) // 2)):
-                del self.known[piece]
+        self._make_room()
         get = self.known.get
         split = [self.split(t) for t in texts]
         found = [list(map(get, pieces)) for pieces in split]

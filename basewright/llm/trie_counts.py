@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches
-from .pieces import BYTE_PATTERN, LONG_RUN, RUN, TEXTS_AT_ONCE, Pieces, vocabulary_path
+from .pieces import BYTE_PATTERN, LONG_RUN, ODD, RUN, Pieces, vocabulary_path
 from .speculative_bpe import SPLIT
 
 #: A trie with more nodes than this is begun anew: bounds memory, not results.
 MAX_NODES = 300_000
+#: Characters of texts whose pieces are looked up together (a longer text goes alone).
+CHARS_AT_ONCE = 4 << 20
 #: Tokens counted together; each count goes over the whole vocabulary.
 COUNTED_AT_ONCE = 1_000_000
 
@@ -106,55 +108,78 @@ class UnigramTrie:
         self.child: dict[int, int] = {}
         self.score, self.tokens = [0.0], [0]
 
-    def _add(self, path: list[int], word: bytes, end: int) -> int:
-        """A new node for `word[:end]`; `path` has the nodes of the shorter prefixes."""
-        best, fewest, ends = -math.inf, 0, self.ends
-        for start in range(end - 1, -1, -1):
-            p = ends.get(word[start:end])
-            if p is None:
-                break
-            before = path[start]
-            score, tokens = self.score[before] + p, self.tokens[before] + 1
-            if score > best or score == best and tokens < fewest:
-                best, fewest = score, tokens
-        self.score.append(best)
-        self.tokens.append(fewest)
-        return len(self.score) - 1
-
     def counts(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Tokens and score of each word."""
+        """Tokens and score of each word; sorted words go faster, as each goes on where it parts from the one before."""
         if len(self.score) > MAX_NODES:
             self._clear()
-        child, found = self.child, []
+        child, ends, score, tokens, found = self.child.get, self.ends.get, self.score, self.tokens, []
+        children, none = self.child, -math.inf
+        path, last = [0], b""
         for word in words:
-            node, path = 0, [0]
-            for end, byte in enumerate(word, 1):
-                key = node << 8 | byte
-                node = child.get(key, -1)
+            # The nodes of the prefixes shared with the last word, and then those of the longer ones.
+            same = 0
+            for x, y in zip(word, last, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del path[same + 1 :]
+            last, node = word, path[same]
+            for at in range(same, len(word)):
+                key = node << 8 | word[at]
+                node = child(key, -1)
                 if node < 0:
-                    node = child[key] = self._add(path, word, end)
+                    best, fewest, end = none, 0, at + 1
+                    for start in range(at, -1, -1):
+                        p = ends(word[start:end])
+                        if p is None:
+                            break
+                        before = path[start]
+                        p += score[before]
+                        if p > best or p == best and tokens[before] < fewest:
+                            best, fewest = p, tokens[before]
+                    node = children[key] = len(score)
+                    score.append(best)
+                    tokens.append(fewest + 1)
                 path.append(node)
-            found.append((self.tokens[node], self.score[node]))
+            found.append((tokens[node], score[node]))
         return found
 
     def _of_pieces(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and score of each text."""
-        split = [[w.encode() for w in self.splitter.findall(t)] for t in texts]
-        distinct = sorted({w for words in split for w in words})
-        known = dict(zip(distinct, self.counts(distinct), strict=True))
-        return [(len(words), sum(known[w][0] for w in words), math.fsum(known[w][1] for w in words)) for words in split]
+        split = list(map(self.splitter.findall, texts))
+        # Most pieces are one pre-token each.
+        distinct = sorted({w.encode() for words in split for w in words})
+        known = {w.decode(): value for w, value in zip(distinct, self.counts(distinct), strict=True)}
+        found = []
+        for words in split:
+            if len(words) == 1:
+                found.append((1, *known[words[0]]))
+            else:
+                values = [known[w] for w in words]
+                found.append((len(words), sum(v[0] for v in values), math.fsum(v[1] for v in values)))
+        return found
 
     def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
         texts = [t or "" for t in texts]
-        line_end = self._of_pieces(["\n"])[0]
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            some = texts[at : at + TEXTS_AT_ONCE]
-            for text, values in zip(some, self.pieces.values(some), strict=True):
-                if values is None:
-                    yield self._of_pieces([text])[0]
-                else:
-                    words, tokens, scores = zip(*values, strict=True)
-                    yield sum(words) - line_end[0], sum(tokens) - line_end[1], math.fsum((*scores, -line_end[2]))
+        line_end, at = self._of_pieces(["\n"])[0], 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size + len(texts[at]) <= CHARS_AT_ONCE):
+                some.append(texts[at])
+                size, at = size + len(texts[at]), at + 1
+            yield from self._summed(some, line_end)
+
+    def _summed(self, texts: list[str], line_end: tuple[int, int, float]) -> Iterator[tuple[int, int, float]]:
+        import numpy as np
+
+        values, place, lengths = self.pieces.gathered(texts)
+        of_text = np.repeat(np.arange(len(texts)), lengths)
+        odd = np.bincount(of_text[np.fromiter((v is ODD for v in values), bool, len(values))[place]], minlength=len(texts)) > 0
+        columns = zip(*((0, 0, 0.0) if v is ODD else v for v in values), strict=True)
+        sums = (np.bincount(of_text, np.array(c, float)[place], len(texts)) - less for c, less in zip(columns, line_end, strict=True))
+        words, tokens, scores = (x.tolist() for x in sums)
+        for i, text in enumerate(texts):
+            yield self._of_pieces([text])[0] if odd[i] else (int(words[i]), int(tokens[i]), scores[i])
 
 
 _latest: dict[tuple, UnigramTrie] = {}
